@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The capability set this package covers is batch-only: the corpus carries no
+event time, so there is nothing to watermark or window. New documents are
+handled by re-running the batch operators over a partitioned corpus.
+"""

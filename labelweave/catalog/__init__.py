@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("documents", "labels")
+FAMILIES = ("documents", "labels", "quality", "cooccurrence")
 
 
 def load_catalog():

@@ -1,0 +1,12 @@
+"""Sending this package's worker code along with the job."""
+
+from __future__ import annotations
+
+import sys
+
+from pyspark import cloudpickle
+
+
+def by_value(module_name: str) -> None:
+    """Pickle a module's functions whole, so workers need not have it installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

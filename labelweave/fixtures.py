@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.operators.labels import label_counts
+from labelweave.operators.preparation import split_of
+from labelweave.plans.sizing import as_array
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,3 +72,33 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("doc_id"))
         .agg(F.sort_array(F.collect_set("p_brand")).alias("labels"))
     )
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, split, y_true, cells): truth and two models' probabilities.
+
+    ``cells`` holds one struct (label, p1, p2) per class in class order, as a
+    model returns one value per class. Probabilities are whole thousandths.
+    """
+    docs = labelled(spark, sf_dir)
+    classes = as_array(label_counts(docs), "label")
+    doc = F.col("doc_id")
+
+    def cell(label: Column, idx: Column) -> Column:
+        y = F.array_contains(F.col("y_true"), label)
+        h1 = (doc * 7919 + idx * 104729) % 1000
+        h2 = (doc * 6421 + idx * 15485) % 1000
+        p1 = F.when(y, 350 + F.floor(h1 * 65 / 100)).otherwise(F.floor(h1 * 75 / 100))
+        p2 = F.when(y, 250 + F.floor(h2 * 75 / 100)).otherwise(F.floor(h2 * 70 / 100))
+        return F.struct(label.alias("label"), p1.cast("int").alias("p1"), p2.cast("int").alias("p2"))
+
+    return (
+        docs.select("doc_id", F.col("labels").alias("y_true"), classes.alias("classes"))
+        .select("doc_id", "y_true", F.transform("classes", cell).alias("cells"))
+        .withColumn("split", split_of(F.col("doc_id").cast("string")))
+    )
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label): the evaluated classes."""
+    return label_counts(labelled(spark, sf_dir)).select("label")

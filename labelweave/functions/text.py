@@ -31,17 +31,21 @@ def terms(text: Column, stop_words: Sequence[str] = ()) -> Column:
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
-    """All runs of ``low`` to ``high`` tokens, each joined by one space."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        runs = F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-            lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "),
-        )
-        parts.append(F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>")))
+    """All runs of ``low`` to ``high`` tokens, each joined by one space.
+
+    Runs of n are the runs of n - 1 zipped with the tokens n - 1 further on,
+    so the work grows with the tokens and not with their square.
+    """
+    none = F.array().cast("array<string>")
+    runs, parts = tokens, []
+    for n in range(1, high + 1):
+        if n > 1:
+            left = F.size(tokens) - (n - 1)
+            starts = F.slice(runs, 1, F.greatest(left, F.lit(0)))
+            ends = F.slice(tokens, n, F.greatest(left, F.lit(0)))
+            runs = F.when(left > 0, F.zip_with(starts, ends, lambda a, b: F.concat_ws(" ", a, b))).otherwise(none)
+        if n >= low:
+            parts.append(runs)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

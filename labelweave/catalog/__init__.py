@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("documents", "labels", "quality", "cooccurrence", "evaluation", "comparison", "features")
+FAMILIES = ("documents", "labels", "quality", "cooccurrence", "evaluation", "comparison", "features", "routing", "sources", "hierarchy")
 
 
 def load_catalog():

@@ -1,0 +1,32 @@
+"""Joins in which one key may hold a large part of all rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Column,
+    how: str = "left", hot_rows: int = 1_000_000, ways: int = 64,
+) -> DataFrame:
+    """Join ``right`` (one row per key) to ``left`` with hot keys split up.
+
+    A key with more than ``hot_rows`` rows is dealt over ``ways`` slots on
+    the left and repeated once per slot on the right; every other key is
+    joined as it is. There are at most rows / hot_rows hot keys, which bounds
+    the broadcast list of them.
+    """
+    keys = list(keys)
+    hot = F.broadcast(
+        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+        .select(*keys, F.lit(True).alias("hot"))
+    )
+    slot = F.when(F.col("hot"), F.pmod(F.xxhash64(spread_by), F.lit(ways))).otherwise(F.lit(0).cast("bigint"))
+    slots = F.when(F.col("hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(ways - 1).cast("bigint")))
+    one = F.array(F.lit(0).cast("bigint"))
+    dealt = left.join(hot, keys, "left").withColumn("slot", slot).drop("hot")
+    copied = right.join(hot, keys, "left").withColumn("slot", F.explode(F.coalesce(slots, one))).drop("hot")
+    return dealt.join(copied, [*keys, "slot"], how).drop("slot")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelweave.operators.labels import label_counts
 from labelweave.operators.preparation import split_of
-from labelweave.plans.sizing import as_array
+from labelweave.plans.sizing import as_array, spread_over_cores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +50,14 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sections)"""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", _sections().alias("sections"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_over_cores(docs, "doc_id").select("doc_id", _sections().alias("sections"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, labels, sections)"""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread_over_cores(docs, "doc_id")
     marks = table(spark, sf_dir, "labels")
     return docs.join(marks, "doc_id", "left").select(
         "doc_id", _labels().alias("labels"), _sections().alias("sections")

@@ -42,7 +42,11 @@ def with_terms(
 
 
 def term_statistics(termed: DataFrame) -> DataFrame:
-    """(term, tf, df) over the documents given, normally the train split."""
+    """(term, tf, df) over the documents given, normally the train split.
+
+    Each document also adds one null term, so the row without a term counts
+    the documents and no second pass is needed for them.
+    """
     ordered = termed.select(F.sort_array("terms").alias("terms"))
     flagged = F.transform(
         "terms",
@@ -51,26 +55,26 @@ def term_statistics(termed: DataFrame) -> DataFrame:
             F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("first"),
         ),
     )
-    return ordered.select(F.explode(flagged).alias("r")).groupBy(F.col("r.term").alias("term")).agg(
+    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
+    rows = ordered.select(F.explode(F.concat(flagged, document)).alias("r"))
+    return rows.groupBy(F.col("r.term").alias("term")).agg(
         F.count(F.lit(1)).alias("tf"), F.sum("r.first").alias("df")
     )
 
 
 def vocabulary(
-    statistics: DataFrame, n_docs, min_df: int = MIN_DF, max_df: float = MAX_DF,
-    max_features: int = MAX_FEATURES,
+    statistics: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
 ) -> DataFrame:
     """(term_id, term, tf, df, idf), at most ``max_features`` rows.
 
     The document-frequency limits come first, then the most frequent terms
     (ties alphabetical); ids follow the alphabet.
     """
-    n = F.col("n_docs")
-    within = statistics.withColumn("n_docs", n_docs).where(
-        (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
-    )
-    kept = within.orderBy(F.desc("tf"), "term").limit(max_features)
-    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    n_docs = statistics.where(F.col("term").isNull()).agg(F.max("df")).scalar()
+    n, df = F.col("n_docs"), F.col("df")
+    known = statistics.where(F.col("term").isNotNull() & (df >= min_df)).withColumn("n_docs", n_docs)
+    kept = known.where(df <= max_df * n).orderBy(F.desc("tf"), "term").limit(max_features)
+    idf = F.log((1.0 + n) / (1.0 + df)) + 1.0
     rows = kept.agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df", idf.alias("idf")))).alias("rows"))
     return rows.select(F.posexplode("rows").alias("term_id", "r")).select("term_id", "r.*")
 

@@ -37,3 +37,13 @@ def as_array(df: DataFrame, value: str | Column, order: str | Column | None = No
     too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes in a per-row array"))
     checked = F.when(F.count(F.lit(1)) <= MAX_CLASSES, collected).otherwise(too_many)
     return df.agg(checked.alias("values")).scalar()
+
+
+def spread_over_cores(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a scan that has fewer splits than the session has cores.
+
+    Only small inputs qualify, so a large corpus is never shuffled here. The
+    split count comes from the file listing; no job runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -57,18 +57,18 @@ def counts(spark, sf):
     return label_counts(fixtures.labelled(spark, sf))
 
 
-def split_docs(spark, sf, source=fixtures.sectioned):
-    texts = doc.with_text(source(spark, sf)).drop("sections")
-    return op.split(doc.split_by_length(texts)[0])
+def texts(spark, sf, source=fixtures.sectioned):
+    return doc.with_text(source(spark, sf)).drop("sections")
 
 
-def termed(spark, sf, source=fixtures.sectioned):
-    return ft.with_terms(split_docs(spark, sf, source), STOP_WORDS)
+def split_docs(spark, sf):
+    return op.split(doc.split_by_length(texts(spark, sf))[0])
 
 
-def vocab(spark, sf):
-    train = termed(spark, sf).where(F.col("split") == "train")
-    return ft.vocabulary(ft.term_statistics(train), max_features=FEATURES)
+def prepared(spark, sf, source=fixtures.sectioned):
+    """(terms of all documents, vocabulary of the train split)"""
+    terms = ft.with_terms(op.prepare_texts(texts(spark, sf, source)), STOP_WORDS)
+    return terms, ft.fit_vocabulary(terms.where(F.col("split") == "train"), max_features=FEATURES)
 
 
 def r6(df, *columns):
@@ -112,24 +112,25 @@ def p04(spark, sf):
     "SELECT doc_id, len(grams)::BIGINT AS n_terms, md5(array_to_string(grams, '|')) AS terms_md5 FROM termed",
 )
 def p05(spark, sf):
-    return termed(spark, sf).select(
+    return ft.with_terms(split_docs(spark, sf), STOP_WORDS).select(
         "doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.md5(F.array_join("terms", "|")).alias("terms_md5")
     )
 
 
-@query("p06_term_statistics", "SELECT term, tf, df FROM term_n UNION ALL SELECT NULL, n, n FROM train_n")
+@query("p06_term_statistics", "SELECT term, tf, df FROM term_n")
 def p06(spark, sf):
-    return ft.term_statistics(termed(spark, sf).where(F.col("split") == "train"))
+    train = op.prepare_texts(texts(spark, sf)).where(F.col("split") == "train")
+    return ft.term_statistics(ft.with_terms(train, STOP_WORDS))
 
 
 @query("p07_vocabulary", "SELECT term_id::INT AS term_id, term, tf, df FROM vocab")
 def p07(spark, sf):
-    return vocab(spark, sf).drop("idf")
+    return prepared(spark, sf)[1].drop("idf")
 
 
 @query("p08_idf", "SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def p08(spark, sf):
-    return r6(vocab(spark, sf).select("term", "df", "idf"), "idf")
+    return r6(prepared(spark, sf)[1].select("term", "df", "idf"), "idf")
 
 
 @query(
@@ -137,8 +138,9 @@ def p08(spark, sf):
     "SELECT doc_id, term_id::INT AS term_id, round(tfidf, 6) AS tfidf FROM term_weight WHERE split = 'train'",
 )
 def p09(spark, sf):
-    train = termed(spark, sf).where(F.col("split") == "train")
-    return r6(ft.feature_rows(ft.vectorize(train, vocab(spark, sf))), "tfidf")
+    terms, vocabulary = prepared(spark, sf)
+    train = terms.where(F.col("split") == "train")
+    return r6(ft.feature_rows(ft.vectorize(train, vocabulary)), "tfidf")
 
 
 @query(
@@ -146,8 +148,8 @@ def p09(spark, sf):
     "SELECT doc_id, split, term_id::INT AS term_id, round(tfidf, 6) AS tfidf FROM term_weight WHERE split <> 'train'",
 )
 def p10(spark, sf):
-    held_out = termed(spark, sf).where(F.col("split") != "train")
-    vectors = ft.vectorize(held_out, vocab(spark, sf))
+    terms, vocabulary = prepared(spark, sf)
+    vectors = ft.vectorize(terms.where(F.col("split") != "train"), vocabulary)
     rows = ft.exploded(vectors, "features", "doc_id", "split").withColumnRenamed("value", "tfidf")
     return r6(rows, "tfidf")
 
@@ -160,7 +162,8 @@ FROM split_texts GROUP BY split
 """,
 )
 def p11(spark, sf):
-    return op.prepared_summary(split_docs(spark, sf), counts(spark, sf), vocab(spark, sf))
+    terms, vocabulary = prepared(spark, sf)
+    return op.prepared_summary(terms, counts(spark, sf), vocabulary)
 
 
 BALANCE = "(SELECT label, n AS n_pos, (SELECT count(*) FROM corpus) - n AS n_neg FROM label_n)"
@@ -188,8 +191,7 @@ def p16(spark, sf):
 @query("p13_fit_baseline")
 def p13(spark, sf):
     """Metrics on test of the model fitted on train."""
-    docs = termed(spark, sf, fixtures.corpus)
-    vectors = ft.vectorize(docs, vocab(spark, sf))
+    vectors = ft.vectorize(*prepared(spark, sf, fixtures.corpus))
     classes = op.viable_labels(counts(spark, sf), 50).select("label")
     model = bl.fit_baseline(vectors.where(F.col("split") == "train"), classes)
     test = bl.predict(bl.predict_proba(vectors.where(F.col("split") == "test"), model))
@@ -219,9 +221,8 @@ def fixed_model(spark, sf, vocabulary):
 
 
 def fixed_scores(spark, sf):
-    terms = vocab(spark, sf)
-    vectors = ft.vectorize(termed(spark, sf), terms)
-    return bl.predict_proba(vectors, fixed_model(spark, sf, terms))
+    terms, vocabulary = prepared(spark, sf)
+    return bl.predict_proba(ft.vectorize(terms, vocabulary), fixed_model(spark, sf, vocabulary))
 
 
 @query("p14_predict_proba", "SELECT doc_id, label, round(1 / (1 + exp(-z)), 6) AS proba FROM margin")

@@ -9,7 +9,7 @@ from labelweave.functions.tokens import token_count
 from labelweave.operators import documents as doc
 from labelweave.operators import preparation as prep
 from labelweave.operators import routing as op
-from labelweave.plans.durable import run_dir
+from labelweave.plans.durable import run_dir, stored
 from labelweave.sources import summaries as cache
 
 LIMIT = 512
@@ -36,8 +36,13 @@ def texts(spark, sf):
     return doc.with_text(fixtures.sectioned(spark, sf)).select("doc_id", "text")
 
 
+def stored_texts(spark, sf):
+    """Flattened once, for operators that read the text more than once."""
+    return stored(texts(spark, sf), "texts")
+
+
 def long_texts(spark, sf):
-    return texts(spark, sf).where(op.is_long(LIMIT))
+    return stored_texts(spark, sf).where(op.is_long(LIMIT))
 
 
 def lengths(spark, sf):
@@ -117,15 +122,11 @@ def h07(spark, sf):
     return texts(spark, sf).select("doc_id", content_key(F.col("text")).alias("hash"))
 
 
-def train_part(spark, sf):
-    part = prep.split(texts(spark, sf)).where(F.col("split") == "train")
-    return part.select("doc_id", "text").where(op.is_long(LIMIT))
-
-
-def warm_cache(spark, sf):
+def warm_cache(spark, long):
     """A cache an earlier run over the train split has left behind."""
     path = run_dir(spark, "cache")
-    op.summarize_corpus(train_part(spark, sf), path, op.head_tail_strategy(LIMIT))
+    train = prep.split(long).where(F.col("split") == "train").drop("split")
+    op.summarize_corpus(train, path, op.head_tail_strategy(LIMIT))
     return path
 
 
@@ -137,8 +138,9 @@ FROM train_ids JOIN shortened USING (doc_id, body) GROUP BY train
 """,
 )
 def h08(spark, sf):
-    keys = op.content_keys(long_texts(spark, sf))
-    known = cache.read_cache(spark, warm_cache(spark, sf))
+    long = long_texts(spark, sf)
+    keys = op.content_keys(long)
+    known = cache.read_cache(spark, warm_cache(spark, long))
     hits = op.cache_hits(keys, known).select("doc_id", "hash", F.lit(True).alias("hit"))
     unknown = op.cache_misses(keys, known).select("hash", "original_length")
     misses = keys.join(unknown, ["hash", "original_length"], "left_semi").select("doc_id", "hash", F.lit(False).alias("hit"))
@@ -154,8 +156,9 @@ SELECT doc_id, train AS cached, md5(summary) AS summary_md5 FROM train_ids JOIN
 """,
 )
 def h09(spark, sf):
-    path = warm_cache(spark, sf)
-    done = op.summarize_corpus(long_texts(spark, sf), path, op.head_tail_strategy(LIMIT))
+    long = long_texts(spark, sf)
+    path = warm_cache(spark, long)
+    done = op.summarize_corpus(long, path, op.head_tail_strategy(LIMIT))
     return done.select("doc_id", "cached", F.md5("summary").alias("summary_md5"))
 
 
@@ -165,7 +168,7 @@ def h09(spark, sf):
 )
 def h10(spark, sf):
     path = run_dir(spark, "cache")
-    done = op.preprocess(texts(spark, sf), path, op.head_tail_strategy(LIMIT), LIMIT)
+    done = op.preprocess(stored_texts(spark, sf), path, op.head_tail_strategy(LIMIT), LIMIT)
     return done.select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -180,8 +183,9 @@ FROM (SELECT doc_id IN (SELECT doc_id FROM shortened) AS long, CASE WHEN train T
 def h11(spark, sf):
     """Two runs added up: the train split, then the whole corpus."""
     path = run_dir(spark, "runs")
-    train = prep.split(texts(spark, sf)).where(F.col("split") == "train")
-    for name, part in (("train", train), ("all", texts(spark, sf))):
+    everything = stored_texts(spark, sf)
+    train = prep.split(everything).where(F.col("split") == "train")
+    for name, part in (("train", train), ("all", everything)):
         op.append_run(op.route_counts(op.analyze_lengths(part, LIMIT)), path, name)
     return op.processing_totals(spark.read.parquet(path))
 

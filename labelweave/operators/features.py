@@ -13,11 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.functions.text import ngrams, terms
 from labelweave.functions.vectors import exploded
+from labelweave.plans.durable import stored
 
 # The limits of the feature space.
 MAX_FEATURES = 10_000
@@ -42,11 +43,7 @@ def with_terms(
 
 
 def term_statistics(termed: DataFrame) -> DataFrame:
-    """(term, tf, df) over the documents given, normally the train split.
-
-    Each document also adds one null term, so the row without a term counts
-    the documents and no second pass is needed for them.
-    """
+    """(term, tf, df) over the documents given, normally the train split."""
     ordered = termed.select(F.sort_array("terms").alias("terms"))
     flagged = F.transform(
         "terms",
@@ -55,30 +52,39 @@ def term_statistics(termed: DataFrame) -> DataFrame:
             F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("first"),
         ),
     )
-    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
-    rows = ordered.select(F.explode(F.concat(flagged, document)).alias("r"))
-    return rows.groupBy(F.col("r.term").alias("term")).agg(
+    return ordered.select(F.explode(flagged).alias("r")).groupBy(F.col("r.term").alias("term")).agg(
         F.count(F.lit(1)).alias("tf"), F.sum("r.first").alias("df")
     )
 
 
 def vocabulary(
-    statistics: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
+    statistics: DataFrame, n_docs: Column, min_df: int = MIN_DF, max_df: float = MAX_DF,
+    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """(term_id, term, tf, df, idf), at most ``max_features`` rows.
 
     The document-frequency limits come first, then the most frequent terms
     (ties alphabetical); ids follow the alphabet.
     """
-    n_docs = statistics.where(F.col("term").isNull()).agg(F.max("df")).scalar()
     n, df = F.col("n_docs"), F.col("df")
-    known = statistics.where(F.col("term").isNotNull() & (df >= min_df)).withColumn("n_docs", n_docs)
-    kept = known.where(df <= max_df * n).orderBy(F.desc("tf"), "term").limit(max_features)
+    within = statistics.withColumn("n_docs", n_docs).where((df >= min_df) & (df <= max_df * n))
+    kept = within.orderBy(F.desc("tf"), "term").limit(max_features)
     idf = F.log((1.0 + n) / (1.0 + df)) + 1.0
     rows = kept.agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df", idf.alias("idf")))).alias("rows"))
     return rows.select(F.posexplode("rows").alias("term_id", "r")).select("term_id", "r.*")
 
 
+def fit_vocabulary(train: DataFrame, **limits) -> DataFrame:
+    """The vocabulary of the train documents, computed once and stored.
+
+    It is read several times afterwards and has at most ``max_features``
+    rows, so what is stored is small. Counting the documents reads none of
+    their text.
+    """
+    n_docs = train.agg(F.count(F.lit(1))).scalar()
+    return stored(vocabulary(term_statistics(train), n_docs, **limits), "vocabulary")
+
+
 def vectorize(termed: DataFrame, vocab: DataFrame) -> DataFrame:
     """Replace ``terms`` by ``features``, the L2-normalised TF-IDF vector.
 

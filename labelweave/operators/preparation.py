@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.functions.text import unit_hash
+from labelweave.functions.text import unit_hash, word_count
+from labelweave.operators.documents import MIN_WORDS
 from labelweave.operators.labels import label_counts
+from labelweave.plans.durable import stored
 from labelweave.plans.sizing import as_array
 
 
@@ -62,6 +64,19 @@ def split(texts: DataFrame, test: float = 0.15, val: float = 0.15, seed: int = 4
     return texts.withColumn("split", split_of(F.sha2("text", 256), test, val, seed))
 
 
+def prepare_texts(
+    texts: DataFrame, min_words: int = MIN_WORDS, test: float = 0.15, val: float = 0.15, seed: int = 42
+) -> DataFrame:
+    """Flattened texts with n_words and split, stored once by split.
+
+    The text is worked out, measured and hashed in a single pass; reading one
+    split or counting documents then touches only what it needs. Documents
+    below ``min_words`` stay in the files but not in the result.
+    """
+    measured = split(texts, test, val, seed).withColumn("n_words", word_count(F.col("text")))
+    return stored(measured, "texts", ["split"]).where(F.col("n_words") >= min_words)
+
+
 def prepared_summary(split_docs: DataFrame, label_table: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Documents per split with the number of labels and features."""
     return split_docs.groupBy("split").agg(F.count(F.lit(1)).alias("n_docs")).withColumns(

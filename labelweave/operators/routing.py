@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.text import content_key
 from labelweave.functions.tokens import CLASSIFIER_SPECIALS, token_count, tokens
-from labelweave.plans.durable import cut_lineage
+from labelweave.plans.durable import stored
 from labelweave.plans.shipping import by_value
-from labelweave.plans.sizing import broadcast_if_small
 from labelweave.plans.skew import spread_join
 from labelweave.sources.summaries import append_cache, read_cache
 
@@ -149,22 +148,23 @@ def summarize_corpus(texts: DataFrame, cache_path: str, strategy: Strategy) -> D
 
     Each distinct unknown text is summarized once and stored, so a failed or
     repeated run pays only for what is not in the cache yet. The text column
-    is read twice and moves only for the texts that need a summary.
+    is read twice; with few unknown texts it does not move at all, because
+    their stored list is then small enough for Spark to broadcast.
     """
     spark = texts.sparkSession
-    keys = cut_lineage(content_keys(texts))
+    keys = stored(content_keys(texts), "content-keys")
     # The files seen here are those of earlier runs, also after the append.
     known = read_cache(spark, cache_path).select("hash", "original_length", F.lit(True).alias("cached"))
-    missing = cut_lineage(cache_misses(keys, known))
-    unknown = texts.select("doc_id", "text").join(broadcast_if_small(missing), "doc_id")
+    missing = stored(cache_misses(keys, known), "cache-misses")
+    unknown = texts.select("doc_id", "text").join(missing, "doc_id")
     summaries = strategy(unknown).select(
         "hash", "original_length", F.length("summary").cast("bigint").alias("summary_length"), "summary"
     )
     append_cache(summaries, cache_path)
-    stored = read_cache(spark, cache_path).join(known, ["hash", "original_length"], "left").select(
+    entries = read_cache(spark, cache_path).join(known, ["hash", "original_length"], "left").select(
         "hash", "original_length", "summary", F.coalesce("cached", F.lit(False)).alias("cached")
     )
-    joined = spread_join(keys, stored, ["hash", "original_length"], F.col("doc_id"))
+    joined = spread_join(keys, entries, ["hash", "original_length"], F.col("doc_id"))
     return joined.select("doc_id", "summary", "cached")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,13 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/labelweave/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lost executors re-read the files, not the job."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a frame once to the shared folder and go on from the files.
+
+    Used where a result is read more than once. A lost executor re-reads
+    files instead of redoing the work behind them, readers still get column
+    and partition pruning, and joins see the table's true size.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,17 +10,6 @@ from pyspark.sql import functions as F
 MAX_CLASSES = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side really is small.
-
-    The count stops at ``max_rows + 1``. A larger side keeps the plain join,
-    which Spark runs as a shuffle with AQE skew splitting.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def as_array(df: DataFrame, value: str | Column, order: str | Column | None = None) -> Column:
     """A class-sized table as one array-valued scalar subquery.
 

@@ -124,13 +124,6 @@ def test_spread_join_keeps_every_row(spark):
     assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
 
 
-def test_broadcast_only_when_small(spark):
-    small, large = spark.range(10), spark.range(100)
-    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(sizing.broadcast_if_small(small, 50).select("id"))
-    assert not hinted(sizing.broadcast_if_small(large, 50).select("id"))
-
-
 def test_too_many_classes_fail(spark, monkeypatch):
     monkeypatch.setattr(sizing, "MAX_CLASSES", 3)
     classes = spark.range(4).select(F.col("id").cast("string").alias("label"))

@@ -210,7 +210,7 @@ def newton(x, y, c=1.0):
 def test_fit_matches_newton_and_scores(spark):
     docs = toy_training(spark)
     termed = ft.with_terms(docs, (), (1, 1))
-    vocab = ft.vocabulary(ft.term_statistics(termed))
+    vocab = ft.fit_vocabulary(termed)
     vectors = ft.vectorize(termed, vocab)
     labels = label_frame(spark, ["A", "B", "always", "never"])
     model = {r.label: r for r in bl.fit_baseline(vectors, labels).collect()}
@@ -235,7 +235,7 @@ def test_fit_matches_newton_and_scores(spark):
 
 def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
     docs = ft.with_terms(toy_training(spark), (), (1, 1))
-    vectors = ft.vectorize(docs, ft.vocabulary(ft.term_statistics(docs)))
+    vectors = ft.vectorize(docs, ft.fit_vocabulary(docs))
     width = len(vectors.first().features)
     model = bl.model_frame(spark, [(l, 0.1 * i, [0.3 * i - 0.01 * j for j in range(width)], False) for i, l in enumerate("xyz")])
     listed = lambda: [[c.p for c in r.cells] for r in bl.predict_proba(vectors, model).orderBy("doc_id").collect()]

@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.plans.shipping import by_value
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -54,6 +53,3 @@ def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else two_sided_p(float(a), float(b)) for a, b in zip(t, dof)]
     )
-
-
-by_value(__name__)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from labelweave.functions.text import content_key
 from labelweave.functions.tokens import CLASSIFIER_SPECIALS, token_count, tokens
 from labelweave.plans.durable import stored
-from labelweave.plans.shipping import by_value
 from labelweave.plans.skew import spread_join
 from labelweave.sources.summaries import append_cache, read_cache
 
@@ -201,6 +200,3 @@ def score_batches(
     names = F.array(*[F.lit(l) for l in labels])
     cells = F.zip_with(names, "proba", lambda l, p: F.struct(l.alias("label"), p.alias("p")))
     return scored.select("doc_id", cells.alias("cells"))
-
-
-by_value(__name__)

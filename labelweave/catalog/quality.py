@@ -37,7 +37,8 @@ def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-UNLABELLED = F.size("labels") == 0
+def unlabelled():
+    return F.size("labels") == 0
 
 
 @query(
@@ -82,7 +83,7 @@ FROM cohorts GROUP BY unlabelled
 )
 def q04(spark, sf):
     counted = doc.with_counts(fixtures.corpus(spark, sf))
-    profile = op.cohort_profile(counted, UNLABELLED).withColumnRenamed("cohort", "unlabelled")
+    profile = op.cohort_profile(counted, unlabelled()).withColumnRenamed("cohort", "unlabelled")
     return rounded(profile, "avg_sections", "avg_words")
 
 
@@ -98,20 +99,20 @@ FROM (SELECT count(*) FILTER (unlabelled) AS n1, count(*) FILTER (NOT unlabelled
 @query("q05_t_test_words", T_SQL.format("n_words"))
 def q05w(spark, sf):
     counted = doc.with_counts(fixtures.corpus(spark, sf))
-    return rounded(op.t_test(counted, F.col("n_words"), UNLABELLED), "mean1", "mean2", "t")
+    return rounded(op.t_test(counted, F.col("n_words"), unlabelled()), "mean1", "mean2", "t")
 
 
 @query("q05_t_test_sections", T_SQL.format("n_sections"))
 def q05s(spark, sf):
     counted = doc.with_counts(fixtures.corpus(spark, sf))
-    return rounded(op.t_test(counted, F.col("n_sections"), UNLABELLED), "mean1", "mean2", "t")
+    return rounded(op.t_test(counted, F.col("n_sections"), unlabelled()), "mean1", "mean2", "t")
 
 
 @query("q05_t_test_p_values")
 def q05p(spark, sf):
     counted = doc.with_counts(fixtures.corpus(spark, sf))
     tests = [
-        op.t_test(counted, F.col(c), UNLABELLED).withColumn("measure", F.lit(c))
+        op.t_test(counted, F.col(c), unlabelled()).withColumn("measure", F.lit(c))
         for c in ("n_words", "n_sections")
     ]
     return op.with_p_value(tests[0].unionByName(tests[1]))
@@ -126,7 +127,7 @@ FROM cohorts WHERE unlabelled
 """,
 )
 def q06(spark, sf):
-    docs = fixtures.corpus(spark, sf).where(UNLABELLED)
+    docs = fixtures.corpus(spark, sf).where(unlabelled())
     docs = docs.withColumn("sections_empty", nested.all_sections_empty(docs))
     return op.anomaly_counts(doc.with_counts(docs))
 

@@ -10,6 +10,7 @@ from labelweave.operators import features as ft
 from labelweave.operators import metrics as met
 from labelweave.operators import preparation as op
 from labelweave.operators.labels import label_counts
+from labelweave.plans.durable import stored
 
 STOP_WORDS = (
     "the", "of", "and", "is", "to", "in", "that", "for", "with", "be", "this", "are",
@@ -222,7 +223,8 @@ def fixed_model(spark, sf, vocabulary):
 
 def fixed_scores(spark, sf):
     terms, vocabulary = prepared(spark, sf)
-    return bl.predict_proba(ft.vectorize(terms, vocabulary), fixed_model(spark, sf, vocabulary))
+    model = stored(fixed_model(spark, sf, vocabulary), "model")
+    return bl.predict_proba(ft.vectorize(terms, vocabulary), model)
 
 
 @query("p14_predict_proba", "SELECT doc_id, label, round(1 / (1 + exp(-z)), 6) AS proba FROM margin")

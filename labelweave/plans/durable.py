@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -12,16 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    A machine-local folder is used only when the session names none and runs
-    in local mode, where driver and executors are one process.
+    ``spark.checkpoint.dir`` when it is set, otherwise the warehouse, which
+    every session has and which all executors of a cluster share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     named = named or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="labelweave-")
-    raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -39,3 +34,13 @@ def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     path = run_dir(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame made by ``stored`` once nothing reads them."""
+    spark = df.sparkSession
+    root = f"{shared_root(spark)}/labelweave/".split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(root):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

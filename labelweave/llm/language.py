@@ -11,20 +11,20 @@ that space. A batch of texts is scored by two matrix products.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelweave.llm.worker import shared, slices
 
 UNKNOWN = "und"
 BITS = 21  # a code point fits
 LAST_CODE_POINT = 0x10FFFF
-PREDICTED = "doc_id bigint, lang_pred string, score double"
 
 
 def _letters() -> np.ndarray:
@@ -142,23 +142,24 @@ def fit(docs: DataFrame, fit_rows: int = 4000, max_fit_chars: int = 20_000, land
     return solve([grams(r["text"]) for r in rows], [r["lang"] for r in rows], landmarks) if rows else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text), from its whole text alone.
+def annotate(docs: DataFrame, model: Model | None, names: Sequence[str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the language and its score as ``names``, read from the whole ``text`` of each row alone.
 
-    score is the best language's part of the positive regression values, 0
-    to 1. A text that is null or has no letter is ``und`` with score 0;
+    The score is the best language's part of the positive regression values,
+    0 to 1. A text that is null or has no letter is ``und`` with score 0;
     letters that no landmark has give the first language with score 0; ties
     go to the first language by name; without a model all are ``und``.
-    Repeated rows are predicted alike; an empty table gives no rows; columns
-    other than doc_id and text are not read.
+    Repeated rows are predicted alike; an empty table gives no rows; other
+    columns pass through, but for those called ``names``.
     """
+    names = list(names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in slices(batches, 128):
             found = [grams(t) for t in batch.column("text").to_pylist()]
-            names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
+            best_names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
             if model is not None:
                 positive = np.maximum(model.scores(found), 0)
                 best = positive.argmax(axis=1)
@@ -166,7 +167,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 share = positive.max(axis=1) / np.where(total > 0, total, 1)
                 for i, text in enumerate(found):
                     if len(text):
-                        names[i], scores[i] = model.languages[best[i]], share[i]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+                        best_names[i], scores[i] = model.languages[best[i]], share[i]
+            yield pa.record_batch(
+                [*batch.columns, pa.array(best_names, pa.string()), pa.array(scores)], names=[*batch.schema.names, *names]
+            )
+
+    kept = docs.drop(*names)
+    added = T.StructType().add(names[0], "string").add(names[1], "double")
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PREDICTED)
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text); see ``annotate``."""
+    narrow = docs.select(F.col("doc_id").cast("bigint"), "text")
+    return annotate(narrow, model).select("doc_id", "lang_pred", F.col("lang_score").alias("score"))

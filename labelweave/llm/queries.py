@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import embeddings, language, packing, secrets, simhash, syncmers, tokenfile, warc
+import corpus_pipeline
+from labelweave.llm import embeddings, grading, language, packing, pieces, secrets, simhash, syncmers, tokenfile, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -81,3 +83,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         F.sha2(_printed(base), 256).alias("base_sha256"), _printed(F.col("spans")).alias("spans"),
     )
+
+
+LEAST_TAIL = 0.5
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = grading.fit(docs, grading.ratings(table(spark, sf_dir, "labels")))
+    kept = F.coalesce(F.col("tail_probability") >= LEAST_TAIL, F.lit(True))
+    return grading.grade(docs, model).select("*", kept.alias("kept"))
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")
+
+
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

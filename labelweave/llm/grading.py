@@ -181,10 +181,10 @@ def fit(docs: DataFrame, rated: DataFrame, n_grades: int = 3, fit_rows: int = 80
 
 def annotate(docs: DataFrame, model: Model | None, names: Sequence[str] = GRADED) -> DataFrame:
     """``docs`` with the expected grade and the top grade's probability as ``names``, from the whole ``text`` of each row.
- A null or empty text is
-    graded by its empty make-up; without a model both are null. Repeated rows
-    are graded alike; an empty table gives no rows; other columns pass
-    through, but for those called ``names``.
+
+    A null or empty text is graded by its empty make-up; without a model both
+    are null. Repeated rows are graded alike; an empty table gives no rows;
+    other columns pass through, but for those called ``names``.
     """
     names = list(names)
     sent = docs.sparkSession.sparkContext.broadcast(model)

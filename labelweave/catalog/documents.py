@@ -108,7 +108,8 @@ WHERE len(labs) = 0 ORDER BY c.doc_id LIMIT 3
 """,
 )
 def d10(spark, sf):
-    return op.preview(fixtures.corpus(spark, sf).where(F.size("labels") == 0))
+    chosen = fixtures.labelled(spark, sf).where(F.size("labels") == 0).orderBy("doc_id").limit(3)
+    return op.preview(fixtures.sectioned(spark, sf).join(F.broadcast(chosen.select("doc_id")), "doc_id"))  # three ids
 
 
 @query(

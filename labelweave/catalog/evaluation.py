@@ -269,6 +269,26 @@ def e17(spark, sf):
     return r6(class_thresholds(spark, sf), "f1_default", "f1_best", "improvement")
 
 
+block(
+    "points_off",
+    """
+SELECT label, t, s, CASE WHEN np > 0 AND np < k THEN coalesce(2 * tp / nullif(np + s, 0), 0) END AS f
+FROM (SELECT label, t, count_if(y AND p1 >= t) AS tp, count_if(p1 >= t) AS np, count_if(y)::BIGINT AS s, count(*) AS k
+  FROM cell_p, (SELECT unnest([150, 350, 500, 550, 750])::INT AS t) WHERE split = 'val' GROUP BY label, t)
+""",
+)
+block("best_off", class_threshold_sql("off").replace("WHERE f > 0", "WHERE f > 0 AND t <> 500"))
+
+
+@query("e17_default_off_the_grid", "SELECT label, threshold, round(f1_default, 6) AS f1_default, round(f1_best, 6) AS f1_best FROM best_off")
+def e17o(spark, sf):
+    grid = (150, 350, 550, 750)
+    docs = fixtures.scored(spark, sf).where(F.col("split") == "val")
+    counts = th.sweep_counts(docs, "p1", (*grid, th.DEFAULT_THRESHOLD))
+    found = th.per_class_thresholds(counts, fixtures.classes(spark, sf), th.document_count(docs), grid=grid)
+    return r6(found.select("label", "threshold", "f1_default", "f1_best"), "f1_default", "f1_best")
+
+
 @query("e20_most_improved", THRESHOLD_COLUMNS + " ORDER BY best_p1.improvement DESC, label LIMIT 10")
 def e20i(spark, sf):
     return r6(th.most_improved(class_thresholds(spark, sf)), "f1_default", "f1_best", "improvement")
@@ -327,7 +347,19 @@ block("cell_test", "SELECT * FROM cell_p WHERE split = 'test'")
 
 @query("e21_probability_histogram", histogram_sql("p1", "cell_test", 50))
 def e21(spark, sf):
-    return r6(histogram(th.probability_values(test_docs(spark, sf), "p1")), "low", "high")
+    return r6(th.probability_histogram(test_docs(spark, sf), "p1"), "low", "high")
+
+
+# Probabilities that nearly all differ, as a real model gives them.
+block("cell_real", "SELECT sqrt(p1 * 1000.0 + (doc_id * 31) % 997 + 1) AS v FROM cell_test")
+
+
+@query("e21_real_valued_histogram", histogram_sql("v", "cell_real", 50))
+def e21r(spark, sf):
+    noise = (F.col("doc_id") * 31) % 997 + 1
+    real = F.transform("cells", lambda c: F.struct(F.sqrt(c["p1"] * 1000.0 + noise).alias("v")))
+    docs = test_docs(spark, sf).withColumn("cells", real)
+    return r6(th.probability_histogram(docs, "v"), "low", "high")
 
 
 block("doc_preds", "SELECT doc_id, count_if(pred)::BIGINT AS k FROM dense_default GROUP BY doc_id")
@@ -427,9 +459,16 @@ def e27(spark, sf):
     return r6(op.deployment_tiers(flag_half(spark, sf)), "gain")
 
 
-@query("h14_predict_threshold", "SELECT doc_id, label, (p2 >= 500)::INT AS y_pred FROM cell_p")
+@query(
+    "h14_predict_threshold",
+    """
+SELECT doc_id, coalesce(string_agg(label, ',' ORDER BY label) FILTER (p2 >= 500), '') AS ones, count_if(p2 < 500)::BIGINT AS n_zeros
+FROM cell_p GROUP BY doc_id
+""",
+)
 def h14(spark, sf):
-    return th.decisions(fixtures.scored(spark, sf), "p2", 500)
+    decided = th.decisions(fixtures.scored(spark, sf), "p2", 500)
+    return decided.withColumn("ones", F.array_join(F.sort_array("ones"), ","))
 
 
 @query(

@@ -12,18 +12,15 @@ from labelweave.operators import preparation as op
 from labelweave.operators.labels import label_counts
 from labelweave.plans.durable import stored
 
-STOP_WORDS = (
-    "the", "of", "and", "is", "to", "in", "that", "for", "with", "be", "this", "are",
-    "on", "as", "it", "by", "an", "or", "he", "not",
-)
-FEATURES = 800
+LEAST_DOCS = 50
 
+block("kept_labels", f"SELECT doc_id, label FROM assigned JOIN label_n USING (label) WHERE n >= {LEAST_DOCS}")
 block(
     "split_texts",
     """
 SELECT doc_id, body, n_words, CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.3 THEN 'val' ELSE 'train' END AS split
 FROM (SELECT *, ('0x' || substr(sha256('42:' || sha256(body)), 1, 8))::BIGINT / 4294967296.0 AS u FROM texts)
-WHERE n_words >= 10
+WHERE n_words >= 10 AND doc_id IN (SELECT doc_id FROM kept_labels)
 """,
 )
 block(
@@ -33,7 +30,7 @@ SELECT doc_id, split, list_concat(toks, list_transform(range(1, len(toks)), lamb
 FROM (SELECT doc_id, split, list_filter(regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}'),
   lambda t: NOT list_contains([%s], t)) AS toks FROM split_texts)
 """
-    % ", ".join(f"'{w}'" for w in STOP_WORDS),
+    % ", ".join("'" + w.replace("'", "''") + "'" for w in ft.english_stop_words()),
 )
 block("doc_terms", "SELECT doc_id, split, term, count(*) AS tf FROM (SELECT doc_id, split, unnest(grams) AS term FROM termed) GROUP BY ALL")
 block("term_n", "SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM doc_terms WHERE split = 'train' GROUP BY term")
@@ -42,7 +39,7 @@ block(
     "vocab",
     f"""
 SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, tf, df, ln((1 + n) / (1 + df)) + 1 AS idf
-FROM (SELECT * FROM term_n, train_n WHERE df >= 2 AND df <= 0.95::DOUBLE * n ORDER BY tf DESC, term LIMIT {FEATURES})
+FROM (SELECT * FROM term_n, train_n WHERE df >= 2 AND df <= 0.95::DOUBLE * n ORDER BY tf DESC, term LIMIT {ft.MAX_FEATURES})
 """,
 )
 block(
@@ -58,18 +55,18 @@ def counts(spark, sf):
     return label_counts(fixtures.labelled(spark, sf))
 
 
-def texts(spark, sf, source=fixtures.sectioned):
-    return doc.with_text(source(spark, sf)).drop("sections")
+def texts(spark, sf):
+    return doc.with_text(fixtures.sectioned(spark, sf)).drop("sections")
 
 
-def split_docs(spark, sf):
-    return op.split(doc.split_by_length(texts(spark, sf))[0])
+def prepared_texts(spark, sf):
+    return op.prepare_texts(texts(spark, sf), fixtures.labelled(spark, sf), LEAST_DOCS)
 
 
-def prepared(spark, sf, source=fixtures.sectioned):
-    """(terms of all documents, vocabulary of the train split)"""
-    terms = ft.with_terms(op.prepare_texts(texts(spark, sf, source)), STOP_WORDS)
-    return terms, ft.fit_vocabulary(terms.where(F.col("split") == "train"), max_features=FEATURES)
+def prepared(spark, sf):
+    """(terms of all prepared documents, vocabulary of the train split)"""
+    terms = ft.with_terms(prepared_texts(spark, sf))
+    return terms, ft.fit_vocabulary(terms.where(F.col("split") == "train"))
 
 
 def r6(df, *columns):
@@ -105,7 +102,7 @@ def p03(spark, sf):
 
 @query("p04_split", "SELECT doc_id, split FROM split_texts")
 def p04(spark, sf):
-    return split_docs(spark, sf).select("doc_id", "split")
+    return prepared_texts(spark, sf).select("doc_id", "split")
 
 
 @query(
@@ -113,15 +110,15 @@ def p04(spark, sf):
     "SELECT doc_id, len(grams)::BIGINT AS n_terms, md5(array_to_string(grams, '|')) AS terms_md5 FROM termed",
 )
 def p05(spark, sf):
-    return ft.with_terms(split_docs(spark, sf), STOP_WORDS).select(
+    return ft.with_terms(prepared_texts(spark, sf)).select(
         "doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.md5(F.array_join("terms", "|")).alias("terms_md5")
     )
 
 
 @query("p06_term_statistics", "SELECT term, tf, df FROM term_n")
 def p06(spark, sf):
-    train = op.prepare_texts(texts(spark, sf)).where(F.col("split") == "train")
-    return ft.term_statistics(ft.with_terms(train, STOP_WORDS))
+    train = prepared_texts(spark, sf).where(F.col("split") == "train")
+    return ft.term_statistics(ft.with_terms(train))
 
 
 @query("p07_vocabulary", "SELECT term_id::INT AS term_id, term, tf, df FROM vocab")
@@ -158,46 +155,70 @@ def p10(spark, sf):
 @query(
     "p11_prepared_summary",
     """
-SELECT split, count(*) AS n_docs, (SELECT count(*) FROM label_n) AS n_labels, (SELECT count(*) FROM vocab) AS n_features
+SELECT split, count(*) AS n_docs, (SELECT count(DISTINCT label) FROM kept_labels JOIN split_texts USING (doc_id)) AS n_labels,
+  (SELECT count(*) FROM vocab) AS n_features
 FROM split_texts GROUP BY split
 """,
 )
 def p11(spark, sf):
     terms, vocabulary = prepared(spark, sf)
-    return op.prepared_summary(terms, counts(spark, sf), vocabulary)
+    return op.prepared_summary(terms, label_counts(terms), vocabulary)
+
+
+block(
+    "balance",
+    """
+SELECT label, count(*) AS n_pos, (SELECT n FROM train_n) - count(*) AS n_neg
+FROM kept_labels JOIN split_texts USING (doc_id) WHERE split = 'train' GROUP BY label
+""",
+)
 
 
-BALANCE = "(SELECT label, n AS n_pos, (SELECT count(*) FROM corpus) - n AS n_neg FROM label_n)"
+def train_balance(spark, sf):
+    return op.label_balance(prepared_texts(spark, sf).where(F.col("split") == "train"))
 
 
 @query(
     "p12_class_weights",
-    f"""
+    """
 SELECT label, n_pos, n_neg, round((n_pos + n_neg) / (2.0 * n_pos), 6) AS w_pos,
-  round((n_pos + n_neg) / (2.0 * n_neg), 6) AS w_neg FROM {BALANCE}
+  round((n_pos + n_neg) / (2.0 * n_neg), 6) AS w_neg FROM balance
 """,
 )
 def p12(spark, sf):
-    return r6(op.class_weights(op.label_balance(fixtures.labelled(spark, sf))), "w_pos", "w_neg")
+    return r6(op.class_weights(train_balance(spark, sf)), "w_pos", "w_neg")
 
 
 @query(
     "p16_positive_weights",
-    f"SELECT label, round(least(50, greatest(1, n_neg / greatest(n_pos, 1))), 6) AS pos_weight FROM {BALANCE}",
+    "SELECT label, round(least(50, greatest(1, n_neg / greatest(n_pos, 1))), 6) AS pos_weight FROM balance",
 )
 def p16(spark, sf):
-    return r6(op.positive_weights(op.label_balance(fixtures.labelled(spark, sf))), "pos_weight")
+    return r6(op.positive_weights(train_balance(spark, sf)), "pos_weight")
+
+
+def fitted(spark, sf):
+    """(vectors, classes, model fitted on train)"""
+    vectors = ft.vectorize(*prepared(spark, sf))
+    train = vectors.where(F.col("split") == "train")
+    classes = label_counts(train).select("label")
+    return vectors, classes, bl.fit_baseline(train, classes)
 
 
 @query("p13_fit_baseline")
 def p13(spark, sf):
-    """Metrics on test of the model fitted on train."""
-    vectors = ft.vectorize(*prepared(spark, sf, fixtures.corpus))
-    classes = op.viable_labels(counts(spark, sf), 50).select("label")
-    model = bl.fit_baseline(vectors.where(F.col("split") == "train"), classes)
+    """Metrics on test of the model fitted on train, over the classes of all prepared documents."""
+    vectors, _, model = fitted(spark, sf)
     test = bl.predict(bl.predict_proba(vectors.where(F.col("split") == "test"), model))
-    known = op.keep_viable(test, counts(spark, sf), 50)
-    return met.evaluate(met.tally(known, y_true="labels"), classes)
+    return met.evaluate(met.tally(test, y_true="labels"), label_counts(vectors).select("label"))
+
+
+@query("p13_converged", "SELECT label, n_pos, n_neg, true AS converged FROM balance WHERE n_neg > 0")
+def p13c(spark, sf):
+    """The penalised gradient at the fitted coefficients is as good as zero."""
+    vectors, _, model = fitted(spark, sf)
+    steep = bl.penalised_gradient(vectors.where(F.col("split") == "train"), model)
+    return steep.where("n_neg > 0").select("label", "n_pos", "n_neg", (F.col("gradient") < 2e-3).alias("converged"))
 
 
 block(

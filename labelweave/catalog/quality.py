@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from labelweave import fixtures
 from labelweave.catalog.registry import block, query
 from labelweave.functions import nested
+from labelweave.functions.text import content_digest
 from labelweave.functions.tokens import token_count
 from labelweave.operators import documents as doc
 from labelweave.operators import quality as op
@@ -37,6 +38,12 @@ def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def cohorts(spark, sf):
+    """(doc_id, labels, counts): measured first, so only narrow rows meet the labels."""
+    counted = doc.with_counts(fixtures.sectioned(spark, sf))
+    return counted.join(fixtures.labelled(spark, sf), "doc_id")
+
+
 def unlabelled():
     return F.size("labels") == 0
 
@@ -68,8 +75,8 @@ SELECT count_if(v = 1)::BIGINT AS n_consistent, count_if(v > 1)::BIGINT AS n_inc
 """,
 )
 def q03(spark, sf):
-    docs = doc.with_text(fixtures.corpus(spark, sf)).select("labels", "text")
-    return op.duplicate_label_consistency(docs)
+    digests = texts(spark, sf).select("doc_id", content_digest(F.col("text")).alias("digest"))
+    return op.duplicate_label_consistency(digests.join(fixtures.labelled(spark, sf), "doc_id"))
 
 
 @query(
@@ -82,7 +89,7 @@ FROM cohorts GROUP BY unlabelled
 """,
 )
 def q04(spark, sf):
-    counted = doc.with_counts(fixtures.corpus(spark, sf))
+    counted = cohorts(spark, sf)
     profile = op.cohort_profile(counted, unlabelled()).withColumnRenamed("cohort", "unlabelled")
     return rounded(profile, "avg_sections", "avg_words")
 
@@ -98,24 +105,41 @@ FROM (SELECT count(*) FILTER (unlabelled) AS n1, count(*) FILTER (NOT unlabelled
 
 @query("q05_t_test_words", T_SQL.format("n_words"))
 def q05w(spark, sf):
-    counted = doc.with_counts(fixtures.corpus(spark, sf))
+    counted = cohorts(spark, sf)
     return rounded(op.t_test(counted, F.col("n_words"), unlabelled()), "mean1", "mean2", "t")
 
 
 @query("q05_t_test_sections", T_SQL.format("n_sections"))
 def q05s(spark, sf):
-    counted = doc.with_counts(fixtures.corpus(spark, sf))
+    counted = cohorts(spark, sf)
     return rounded(op.t_test(counted, F.col("n_sections"), unlabelled()), "mean1", "mean2", "t")
 
 
-@query("q05_t_test_p_values")
+# Twice the density's integral beyond |t|, by Simpson's rule on 20,000 steps up to |t|.
+P_SQL = """
+SELECT measure, dof, round(t, 6) AS t, round(1 - 2 * least(0.5, abs(t) / 20000 / 3 * (SELECT sum(
+    (CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) *
+    exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0) - 0.5 * ln(dof * pi())
+      - (dof + 1) / 2.0 * ln(1 + (i * abs(t) / 20000) ** 2 / dof)))
+  FROM (SELECT unnest(range(20001)) AS i))), 6) AS p_value
+FROM (SELECT measure, n1 + n2 - 2 AS dof, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t
+  FROM (SELECT measure, count(*) FILTER (unlabelled) AS n1, count(*) FILTER (NOT unlabelled) AS n2,
+    avg(x) FILTER (unlabelled) AS m1, avg(x) FILTER (NOT unlabelled) AS m2,
+    var_samp(x) FILTER (unlabelled) AS v1, var_samp(x) FILTER (NOT unlabelled) AS v2
+    FROM (SELECT 'n_words' AS measure, unlabelled, n_words AS x FROM cohorts
+      UNION ALL SELECT 'n_sections', unlabelled, n_sections FROM cohorts) GROUP BY measure))
+"""
+
+
+@query("q05_t_test_p_values", P_SQL)
 def q05p(spark, sf):
-    counted = doc.with_counts(fixtures.corpus(spark, sf))
+    counted = cohorts(spark, sf)
     tests = [
         op.t_test(counted, F.col(c), unlabelled()).withColumn("measure", F.lit(c))
         for c in ("n_words", "n_sections")
     ]
-    return op.with_p_value(tests[0].unionByName(tests[1]))
+    found = op.with_p_value(tests[0].unionByName(tests[1]))
+    return rounded(found.select("measure", "dof", "t", "p_value"), "t", "p_value")
 
 
 @query(
@@ -127,9 +151,9 @@ FROM cohorts WHERE unlabelled
 """,
 )
 def q06(spark, sf):
-    docs = fixtures.corpus(spark, sf).where(unlabelled())
-    docs = docs.withColumn("sections_empty", nested.all_sections_empty(docs))
-    return op.anomaly_counts(doc.with_counts(docs))
+    docs = fixtures.sectioned(spark, sf)
+    counted = doc.with_counts(docs.withColumn("sections_empty", nested.all_sections_empty(docs)))
+    return op.anomaly_counts(counted.join(fixtures.labelled(spark, sf), "doc_id").where(unlabelled()))
 
 
 HISTOGRAM_SQL = """

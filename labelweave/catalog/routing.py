@@ -13,6 +13,7 @@ from labelweave.plans.durable import run_dir, stored
 from labelweave.sources import summaries as cache
 
 LIMIT = 512
+TOKEN_SQL = r"[\p{L}\p{N}_]+|[^\s\x0b\p{Z}\p{L}\p{N}_]"
 
 block(
     "shortened",
@@ -88,8 +89,9 @@ def h03(spark, sf):
 @query(
     "h04_truncate",
     rf"""
-SELECT doc_id, md5(array_to_string(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+|[^\s\x0b\p{{Z}}\p{{L}}\p{{N}}_]')[1:{LIMIT - 2}], ' ')) AS text_md5
-FROM texts
+SELECT doc_id, md5(CASE WHEN len(toks) <= {LIMIT - 2} THEN body ELSE left(body,
+  list_sum(list_transform(range(1, {LIMIT - 1}), lambda i: length(gaps[i]) + length(toks[i])))::BIGINT) END) AS text_md5
+FROM (SELECT doc_id, body, regexp_extract_all(body, '{TOKEN_SQL}') AS toks, regexp_split_to_array(body, '{TOKEN_SQL}') AS gaps FROM texts)
 """,
 )
 def h04(spark, sf):
@@ -140,10 +142,10 @@ FROM train_ids JOIN shortened USING (doc_id, body) GROUP BY train
 def h08(spark, sf):
     long = long_texts(spark, sf)
     keys = op.content_keys(long)
-    known = cache.read_cache(spark, warm_cache(spark, long))
+    known = cache.read_cache(spark, warm_cache(spark, long), keys)
     hits = op.cache_hits(keys, known).select("doc_id", "hash", F.lit(True).alias("hit"))
-    unknown = op.cache_misses(keys, known).select("hash", "original_length")
-    misses = keys.join(unknown, ["hash", "original_length"], "left_semi").select("doc_id", "hash", F.lit(False).alias("hit"))
+    unknown = op.cache_misses(keys, known).select("digest")
+    misses = keys.join(unknown, "digest", "left_semi").select("doc_id", "hash", F.lit(False).alias("hit"))
     return hits.unionAll(misses).groupBy("hit").agg(
         F.count(F.lit(1)).alias("n_docs"), F.countDistinct("hash").alias("n_texts")
     )
@@ -172,6 +174,33 @@ def h10(spark, sf):
     return done.select("doc_id", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "h09_repeated_ids",
+    """
+SELECT doc_id % 7 AS doc_id, md5(summary) AS summary_md5, count(*) AS n_docs FROM shortened GROUP BY ALL
+""",
+)
+def h09r(spark, sf):
+    """Ids that repeat over different texts, without a cache."""
+    long = long_texts(spark, sf).withColumn("doc_id", F.col("doc_id") % 7)
+    done = op.summarize_corpus(long, None, op.head_tail_strategy(LIMIT))
+    return done.groupBy("doc_id", F.md5("summary").alias("summary_md5")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query(
+    "h10_null_texts",
+    """
+SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN md5(coalesce(summary, t.body)) END AS text_md5
+FROM texts t LEFT JOIN shortened USING (doc_id)
+""",
+)
+def h10n(spark, sf):
+    """Every fifth text is missing and must come through as it is."""
+    some = stored_texts(spark, sf).withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text")))
+    done = op.preprocess(some, run_dir(spark, "cache"), op.head_tail_strategy(LIMIT), LIMIT)
+    return done.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @query(
     "h11_processing_counters",
     """

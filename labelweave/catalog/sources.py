@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from labelweave import fixtures
-from labelweave.catalog.registry import query
+from labelweave.catalog.registry import block, query
 from labelweave.functions import nested
+from labelweave.operators import documents as doc
 from labelweave.operators import metrics as met
 from labelweave.operators import routing
 from labelweave.operators.labels import label_counts, label_distribution
@@ -28,6 +29,28 @@ def written_corpus(spark, sf):
     return path
 
 
+block("mixed", "SELECT t.*, d.text AS body0 FROM texts t JOIN documents d USING (doc_id)")
+
+
+def mixed_corpus(spark, sf):
+    """Lines whose sections are, by turns, paragraphs, text only, plain strings and one string.
+
+    Every eleventh line is cut off.
+    """
+    docs = fixtures.table(spark, sf, "documents").join(fixtures.labelled(spark, sf), "doc_id")
+    lines = F.split("text", "\n")
+    paragraphs = F.transform(lines, lambda l: F.struct(F.lit("h").alias("headtext"), F.split(l, r"\. ").alias("paragraphs")))
+    shapes = (paragraphs, F.transform(lines, lambda l: F.struct(l.alias("text"))), lines, F.array(F.array_join(lines, " ")))
+    shape = F.when(F.lit(False), "")
+    for n, sections in enumerate(shapes):
+        whole = F.to_json(F.struct(F.col("doc_id").cast("string").alias("DOC_ID"), F.col("labels").alias("procedural_posture"), sections.alias("Sections")))
+        shape = shape.when(F.col("doc_id") % 4 == n, whole)
+    cut = F.when(F.col("doc_id") % 11 == 0, F.substring(shape, F.lit(1), F.length(shape) - 3)).otherwise(shape)
+    path = run_dir(spark, "mixed")
+    docs.select(cut.alias("value")).write.text(path)
+    return path
+
+
 SUMMARY = """
 SELECT doc_id::VARCHAR AS doc_id, len(labs)::BIGINT AS n_labels, n_paragraphs, md5(body) AS text_md5
 FROM corpus JOIN texts USING (doc_id)
@@ -86,6 +109,72 @@ def s06(spark, sf):
     )
 
 
+@query(
+    "s01_mixed_shapes",
+    """
+SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE n_words END AS n_words,
+  CASE WHEN doc_id % 4 = 0 THEN n_paragraphs WHEN doc_id % 4 = 3 THEN 1 ELSE n_sections END::BIGINT AS n_paragraphs,
+  md5(CASE WHEN doc_id % 4 = 0 THEN body ELSE replace(body0, chr(10), ' ') END) AS text_md5
+FROM mixed WHERE doc_id % 11 <> 0
+""",
+)
+def s01m(spark, sf):
+    """Four shapes of sections in a corpus with its own column names, and broken lines."""
+    good, _ = src.without_rejects(src.load_corpus(spark, mixed_corpus(spark, sf)))
+    docs = src.standardize(good)
+    return docs.select(
+        "doc_id", nested.document_words(docs).alias("n_words"), nested.paragraph_count(docs).alias("n_paragraphs"),
+        F.md5(nested.extract_text(docs)).alias("text_md5"),
+    )
+
+
+@query("s01_rejects", "SELECT count(*) AS n_rejects FROM documents WHERE doc_id % 11 = 0")
+def s01r(spark, sf):
+    _, rejects = src.without_rejects(src.load_corpus(spark, mixed_corpus(spark, sf)))
+    return rejects.agg(F.count(F.lit(1)).alias("n_rejects"))
+
+
+@query("s03_cached_corpus", "SELECT count(*) AS n_docs, sum(n_paragraphs)::BIGINT AS n_paragraphs FROM texts")
+def s03(spark, sf):
+    """The kept frame answers a second question without another scan."""
+    docs = src.cached(doc.with_counts(src.standardize(src.load_corpus(spark, written_corpus(spark, sf)))))
+    docs.count()
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_paragraphs").alias("n_paragraphs"))
+
+
+@query(
+    "s05_schema",
+    """
+SELECT 'documentId' AS name, 'string' AS type, count(*) AS n_filled FROM corpus
+UNION ALL SELECT 'postures', 'array<string>', count(*) FROM corpus
+UNION ALL SELECT 'sections', 'array<struct<headtext:string,paragraphs:array<string>>>', count(*) FROM corpus
+UNION ALL SELECT '_corrupt_record', 'string', 0 FROM (SELECT count(*) FROM corpus)
+""",
+)
+def s05(spark, sf):
+    docs = src.load_corpus(spark, written_corpus(spark, sf))
+    kinds = src.get_schema(docs)
+    filled = docs.agg(*[F.count(c).alias(c) for c in src.get_column_names(docs)])
+    listed = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("type"), F.col(c).alias("n_filled")) for c, k in kinds.items()])
+    return filled.select(F.explode(listed).alias("r")).select("r.*")
+
+
+@query(
+    "d01_detect_roles",
+    """
+SELECT 'labels' AS role, 'procedural_posture' AS name, count(*) AS n_filled FROM mixed WHERE doc_id % 11 <> 0
+UNION ALL SELECT 'text', 'Sections', count(*) FROM mixed WHERE doc_id % 11 <> 0
+UNION ALL SELECT 'id', 'DOC_ID', count(*) FROM mixed WHERE doc_id % 11 <> 0
+""",
+)
+def d01(spark, sf):
+    good, _ = src.without_rejects(src.load_corpus(spark, mixed_corpus(spark, sf)))
+    roles = src.detect_roles(good)
+    filled = good.agg(*[F.count(name).alias(role) for role, name in roles.items()])
+    listed = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(n).alias("name"), F.col(r).alias("n_filled")) for r, n in roles.items()])
+    return filled.select(F.explode(listed).alias("r")).select("r.*")
+
+
 def decided(spark, sf, p, threshold):
     return fixtures.scored(spark, sf).withColumn("y_pred", met.predicted("cells", p, threshold))
 
@@ -101,13 +190,12 @@ FROM cell_p, (VALUES (1), (2)) AS v(m) GROUP BY m, split
 )
 def s07(spark, sf):
     path = run_dir(spark, "predictions")
+    models = []
     for model, p, threshold in (("model1", "p1", 500), ("model2", "p2", 600)):
-        scored = decided(spark, sf, p, threshold)
-        scored = scored.withColumn(
-            "cells", F.transform("cells", lambda c: F.struct(c["label"].alias("label"), c[p].alias("p")))
-        )
-        for split in ("train", "val", "test"):
-            pred.save_predictions(scored.where(F.col("split") == split), path, model, split)
+        cells = F.transform("cells", lambda c: F.struct(c["label"].alias("label"), c[p].alias("p")))
+        models.append(F.struct(F.lit(model).alias("model"), cells.alias("cells"), met.predicted("cells", p, threshold).alias("y_pred")))
+    both = fixtures.scored(spark, sf).select("doc_id", "split", F.explode(F.array(*models)).alias("m"))
+    pred.save_all(both.select("doc_id", "split", "m.*"), path)
     total = F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + c["p"])
     return pred.load_predictions(spark, path).groupBy("model", "split").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(total).alias("proba_sum"),

@@ -72,15 +72,13 @@ def section_count(df: DataFrame, col: str = "sections", scalar_value: int = 0) -
 
 
 def paragraph_count(df: DataFrame, col: str = "sections") -> Column:
-    """Paragraphs in all sections, or the section count where there are none."""
+    """Paragraphs in all sections, or the section count where there are none; 1 without sections."""
     kind, has_paragraphs, _ = _shape(df, col)
     if kind == "scalar":
         return F.lit(1).cast("bigint")
     sections = F.col(col)
-    if kind == "string":
-        return F.size(sections).cast("bigint")
-    if not has_paragraphs:
-        return F.size(sections).cast("bigint")
+    if kind == "string" or not has_paragraphs:
+        return F.when(sections.isNull(), F.lit(1)).otherwise(F.size(sections)).cast("bigint")
     lists = F.transform(sections, lambda s: F.coalesce(s["paragraphs"].cast(_NO_TEXT), F.array().cast(_NO_TEXT)))
     total = F.size(F.flatten(lists))
     return F.when(sections.isNull(), F.lit(1)).when(total > 0, total).otherwise(F.size(sections)).cast("bigint")

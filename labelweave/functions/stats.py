@@ -30,11 +30,20 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the continued fraction does not settle for a={a}, b={b}, x={x}")
+
+
+# From so many degrees of freedom on the distance to the normal distribution is
+# taken by its first term; what is left out is of the order of 1 / dof squared.
+NEARLY_NORMAL = 1e6
 
 
 def two_sided_p(t: float, dof: float) -> float:
+    if dof >= NEARLY_NORMAL:
+        t = abs(t)
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return min(1.0, math.erfc(t / math.sqrt(2)) + density * (t**3 + t) / (2 * dof))
     x = dof / (dof + t * t)
     if x <= 0.0:
         return 0.0

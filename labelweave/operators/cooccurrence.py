@@ -127,13 +127,12 @@ def rare_companionship(
     sets: DataFrame, counts: DataFrame, rare_below: int = 50, common_from: int = 100
 ) -> DataFrame:
     """Per rare label: never the only label, and always with a common one."""
-    commons = as_array(counts.where(F.col("n") >= common_from), "label")
-    exploded = sets.withColumn("commons", commons).select(
-        F.explode("labels").alias("label"), F.size("labels").alias("k"), "labels", "commons"
-    )
-    others = F.array_remove(F.array_intersect("labels", "commons"), F.col("label"))
-    per_label = exploded.groupBy("label").agg(
-        F.min("k").alias("least"), F.every(F.size(others) > 0).alias("with_common")
+    marks = counts.select("label", (F.col("n") >= common_from).cast("int").alias("common"))
+    exploded = sets.select(F.explode("labels").alias("label"), F.size("labels").alias("k"), "labels").join(marks, "label")
+    in_list = F.sum("common").over(Window.partitionBy("labels"))
+    others = exploded.select("label", "k", (in_list - F.col("common")).alias("others"))
+    per_label = others.groupBy("label").agg(
+        F.min("k").alias("least"), F.every(F.col("others") > 0).alias("with_common")
     )
     rare = counts.where(F.col("n") < rare_below)
     never_alone = F.col("least") > 1
@@ -169,6 +168,7 @@ def relation_check(sets: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def _status(rate: Column) -> Column:
+    # The words and bounds of a verdict.
     return F.when(rate > 0.9, "CONFIRMED").when(rate > 0.5, "PARTIAL").otherwise("NOT CONFIRMED")
 
 

@@ -28,8 +28,8 @@ def with_counts(docs: DataFrame, col: str = "sections") -> DataFrame:
 
 
 def split_by_length(texts: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected) by the word count of ``text``."""
-    counted = texts.withColumn("n_words", word_count(F.col("text")))
+    """(kept, rejected) by the word count of ``text``; a null text has no words."""
+    counted = texts.withColumn("n_words", F.coalesce(word_count(F.col("text")), F.lit(0)))
     return counted.where(F.col("n_words") >= min_words), counted.where(F.col("n_words") < min_words)
 
 

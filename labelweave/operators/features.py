@@ -10,7 +10,10 @@ construction and every document becomes a vector inside its own row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
+from zipfile import ZipFile
 
+from pyspark.find_spark_home import _find_spark_home
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,16 +31,20 @@ NGRAM_RANGE = (1, 2)
 
 
 def english_stop_words() -> list[str]:
-    """Spark ML's English list; any other list can be passed instead."""
-    from pyspark.ml.feature import StopWordsRemover
+    """Spark ML's English list; any other list can be passed instead.
 
-    return StopWordsRemover.loadDefaultStopWords("english")
+    Read from Spark's own archive, so that no session is needed.
+    """
+    jars = Path(_find_spark_home()) / "jars"
+    with ZipFile(next(jars.glob("spark-mllib_*.jar"))) as archive:
+        return archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
 
 
 def with_terms(
-    texts: DataFrame, stop_words: Sequence[str] = (), ngram_range: tuple[int, int] = NGRAM_RANGE
+    texts: DataFrame, stop_words: Sequence[str] | None = None, ngram_range: tuple[int, int] = NGRAM_RANGE
 ) -> DataFrame:
-    """Replace ``text`` by ``terms``: n-grams over what the stop list leaves."""
+    """Replace ``text`` by ``terms``: n-grams over what the stop list (by default the English one) leaves."""
+    stop_words = english_stop_words() if stop_words is None else stop_words
     tokens = texts.withColumn("tokens", terms(F.col("text"), stop_words)).drop("text")
     return tokens.withColumn("terms", ngrams(F.col("tokens"), *ngram_range)).drop("tokens")
 

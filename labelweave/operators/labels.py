@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The smallest count of a common and of a moderate label.
@@ -44,10 +44,8 @@ def distinct_labels(docs: DataFrame, approximate: bool = False) -> DataFrame:
 
 def ranked_labels(counts: DataFrame) -> DataFrame:
     """(rank, label) in alphabetical order, one row per class."""
-    names = counts.agg(F.sort_array(F.collect_list("label")).alias("names"))
-    return names.select(F.posexplode("names").alias("pos", "label")).select(
-        (F.col("pos") + 1).cast("bigint").alias("rank"), "label"
-    )
+    rank = F.row_number().over(Window.orderBy("label"))
+    return counts.select(rank.cast("bigint").alias("rank"), "label")
 
 
 def top_labels(counts: DataFrame, n: int = 20) -> DataFrame:

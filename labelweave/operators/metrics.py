@@ -95,13 +95,25 @@ def class_count(label_table: DataFrame) -> Column:
     return label_table.agg(F.count(F.lit(1))).scalar()
 
 
+def only_known(tallied: DataFrame, label_table: DataFrame) -> DataFrame:
+    """The tally as it is; a label that ``label_table`` lacks fails the query.
+
+    Such a label would count in some metrics and not in others. Cut the
+    documents' labels to the class table first, as ``keep_viable`` does.
+    """
+    known = label_table.select("label", F.lit(True).alias("known"))
+    stray = F.raise_error(F.concat(F.lit("label outside the class table: "), F.col("label"))).cast("bigint")
+    checked = F.when(F.col("label").isNull() | F.col("known"), F.col("tp")).otherwise(stray)
+    return tallied.join(known, "label", "left").withColumn("tp", checked).drop("known")
+
+
 def evaluate(tallied: DataFrame, label_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All overall metrics, one row per ``by``.
 
     The macro means divide by the number of classes, so a class that never
     occurs counts as 0 without being listed.
     """
-    scores = with_scores(tallied)
+    scores = with_scores(only_known(tallied, label_table))
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
     sums = scores.groupBy(*by).agg(
         tp.alias("tp"), fp.alias("fp"), fn.alias("fn"),
@@ -127,7 +139,7 @@ def evaluate(tallied: DataFrame, label_table: DataFrame, by: Sequence[str] = ())
 
 def per_class(tallied: DataFrame, label_table: DataFrame) -> DataFrame:
     """Metrics of every class, the ones that never occur included."""
-    counts = tallied.where(F.col("label").isNotNull()).select("label", "tp", "fp", "fn")
+    counts = only_known(tallied.where(F.col("label").isNotNull()), label_table).select("label", "tp", "fp", "fn")
     full = label_table.select("label").join(counts, "label", "left")
     filled = full.na.fill(0, ["tp", "fp", "fn"])
     return with_scores(filled).select("label", "precision", "recall", "f1", "support", "predicted_count")

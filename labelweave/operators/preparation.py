@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.functions.text import unit_hash, word_count
@@ -20,24 +20,24 @@ def viable_labels(counts: DataFrame, min_count: int | None) -> DataFrame:
 def keep_viable(docs: DataFrame, counts: DataFrame, min_count: int | None) -> DataFrame:
     """Drop rare labels, then documents left without any.
 
-    With ``None`` nothing is dropped, unlabelled documents included. The
-    labels are cut inside the row, so no text moves.
+    With ``None`` nothing is dropped, unlabelled documents included. Each
+    distinct label list is cut once, by a join with the class table, and
+    meets the documents again by that list; hand over narrow rows, as all
+    columns of ``docs`` go through that join.
     """
     if min_count is None:
         return docs
-    viable = as_array(viable_labels(counts, min_count), "label")
-    return (
-        docs.withColumn("viable", viable)
-        .withColumn("labels", F.array_intersect("labels", "viable"))
-        .drop("viable")
-        .where(F.size("labels") > 0)
-    )
+    viable = viable_labels(counts, min_count).select("label")
+    lists = docs.select("labels").distinct().select("labels", F.explode("labels").alias("label"))
+    cut = lists.join(viable, "label", "left_semi").groupBy("labels").agg(F.sort_array(F.collect_set("label")).alias("kept"))
+    joined = docs.join(cut, "labels")
+    return joined.select(*[F.col("kept").alias("labels") if c == "labels" else F.col(c) for c in docs.columns])
 
 
 def label_ids(counts: DataFrame) -> DataFrame:
     """(label_id, label), ids from 0 in alphabetical order; class-sized."""
-    names = counts.agg(F.sort_array(F.collect_list("label")).alias("names"))
-    return names.select(F.posexplode("names").alias("label_id", "label"))
+    rank = F.row_number().over(Window.orderBy("label")) - 1
+    return counts.select(rank.alias("label_id"), "label")
 
 
 def encode(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -65,15 +65,21 @@ def split(texts: DataFrame, test: float = 0.15, val: float = 0.15, seed: int = 4
 
 
 def prepare_texts(
-    texts: DataFrame, min_words: int = MIN_WORDS, test: float = 0.15, val: float = 0.15, seed: int = 42
+    texts: DataFrame, labelled: DataFrame | None = None, min_count: int | None = None, min_words: int = MIN_WORDS,
+    test: float = 0.15, val: float = 0.15, seed: int = 42,
 ) -> DataFrame:
-    """Flattened texts with n_words and split, stored once by split.
-
-    The text is worked out, measured and hashed in a single pass; reading one
-    split or counting documents then touches only what it needs. Documents
-    below ``min_words`` stay in the files but not in the result.
+    """Texts with n_words and split, stored once by split; what training and testing start from.
+
+    Given ``labelled`` (doc_id, labels), labels of fewer than ``min_count``
+    documents go, then documents left without a label; all that comes before
+    the split. The text is worked out, measured and hashed in a single pass,
+    and meets its labels in it; reading one split or counting documents then
+    touches only what it needs. Documents below ``min_words`` stay in the
+    files but not in the result.
     """
-    measured = split(texts, test, val, seed).withColumn("n_words", word_count(F.col("text")))
+    if labelled is not None:
+        texts = texts.join(keep_viable(labelled, label_counts(labelled), min_count), "doc_id")
+    measured = split(texts, test, val, seed).withColumn("n_words", F.coalesce(word_count(F.col("text")), F.lit(0)))
     return stored(measured, "texts", ["split"]).where(F.col("n_words") >= min_words)
 
 

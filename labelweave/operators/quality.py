@@ -42,11 +42,9 @@ def duplicate_histogram(texts: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_label_consistency(texts: DataFrame) -> DataFrame:
-    """Repeated texts whose copies agree, or differ, in their label list."""
-    per_variant = texts.groupBy(
-        content_digest(F.col("text")).alias("digest"), F.sort_array("labels").alias("labels")
-    ).agg(F.count(F.lit(1)).alias("n"))
+def duplicate_label_consistency(docs: DataFrame) -> DataFrame:
+    """Repeated texts whose copies agree, or differ, in their label list; over (digest, labels)."""
+    per_variant = docs.groupBy("digest", F.sort_array("labels").alias("labels")).agg(F.count(F.lit(1)).alias("n"))
     per_text = per_variant.groupBy("digest").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("variants")
     )

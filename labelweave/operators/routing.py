@@ -8,10 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.functions.text import content_key
-from labelweave.functions.tokens import CLASSIFIER_SPECIALS, token_count, tokens
+from labelweave.functions.text import content_digest, content_key
+from labelweave.functions.tokens import CLASSIFIER_SPECIALS, TOKEN, token_count, tokens
 from labelweave.plans.durable import stored
-from labelweave.plans.skew import spread_join
 from labelweave.sources.summaries import append_cache, read_cache
 
 # The classifier's window, the share of a shortened text taken
@@ -67,13 +66,19 @@ def processing_totals(runs: DataFrame) -> DataFrame:
 
 
 def truncated(text: Column, max_length: int = MAX_LENGTH, specials: int = CLASSIFIER_SPECIALS) -> Column:
-    """The first tokens that fit the window, joined by spaces."""
-    return F.array_join(F.slice(tokens(text), 1, max_length - specials), " ")
+    """The text up to the end of the last token that fits the window, otherwise as it is."""
+    keep = max_length - specials
+    found, between = tokens(text), F.split(text, TOKEN)
+    sizes = F.zip_with(
+        F.slice(between, 1, keep), F.slice(found, 1, keep), lambda gap, token: F.length(gap) + F.length(token)
+    )
+    end = F.aggregate(sizes, F.lit(0), lambda total, size: total + size)
+    return F.when(F.size(found) <= keep, text).otherwise(F.substring(text, F.lit(1), end))
 
 
 def head_tail(text: Column, n_tokens: Column, max_length: int = MAX_LENGTH, head_ratio: float = HEAD_RATIO) -> Column:
     """Start and end of a text, cut to the share of characters that fits."""
-    target = F.floor(F.length(text) * max_length / n_tokens).cast("int")
+    target = F.floor(F.length(text).cast("bigint") * max_length / n_tokens).cast("int")
     head = F.floor(target * F.lit(head_ratio)).cast("int")
     return F.concat(F.substring(text, F.lit(1), head), F.lit(GAP), F.right(text, target - head))
 
@@ -110,16 +115,20 @@ def model_strategy(load: Callable[[], Callable[[list[str]], list[str]]], batch_s
 
 
 def is_long(max_length: int = MAX_LENGTH) -> Column:
-    """No text has more tokens than characters, so most short texts are
-    decided by their length alone."""
+    """Whether ``text`` exceeds the window; a null text doesn't.
+
+    No text has more tokens than characters, so most short texts are decided
+    by their length alone.
+    """
     roomy = F.length("text") + CLASSIFIER_SPECIALS <= max_length
-    return ~roomy & (token_count(F.col("text")) > max_length)
+    return F.coalesce(~roomy & (token_count(F.col("text")) > max_length), F.lit(False))
 
 
 def content_keys(texts: DataFrame) -> DataFrame:
-    """(doc_id, hash, original_length, token_count): all but the text."""
+    """(doc_id, digest, hash, original_length, token_count): all but the text."""
     return texts.select(
         "doc_id",
+        content_digest(F.col("text")).alias("digest"),
         content_key(F.col("text")).alias("hash"),
         F.length("text").cast("bigint").alias("original_length"),
         token_count(F.col("text")).alias("token_count"),
@@ -127,50 +136,60 @@ def content_keys(texts: DataFrame) -> DataFrame:
 
 
 def cache_hits(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    return keys.join(cache, ["hash", "original_length"], "left_semi")
+    return keys.join(cache, "digest", "left_semi")
 
 
 def cache_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    """(doc_id, hash, original_length, token_count), one row per unknown text.
+    """(digest, hash, original_length, token_count), one row per unknown text.
 
     Grouped before the cache is looked up: a text with millions of copies is
     one row from there on.
     """
-    one_each = keys.groupBy("hash", "original_length").agg(
-        F.min("doc_id").alias("doc_id"), F.max("token_count").alias("token_count")
+    one_each = keys.groupBy("digest").agg(
+        F.min("hash").alias("hash"), F.min("original_length").alias("original_length"), F.max("token_count").alias("token_count")
     )
-    return one_each.join(cache, ["hash", "original_length"], "left_anti")
+    return one_each.join(cache, "digest", "left_anti")
 
 
-def summarize_corpus(texts: DataFrame, cache_path: str, strategy: Strategy) -> DataFrame:
+def _summarized(texts: DataFrame, missing: DataFrame, strategy: Strategy) -> DataFrame:
+    """Cache entries for the texts of ``missing``, each found by its digest and summarized once."""
+    keyed = texts.select(content_digest(F.col("text")).alias("digest"), "text")
+    one_each = keyed.join(missing.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    return strategy(one_each.join(missing, "digest")).select(
+        "digest", "hash", "original_length", F.length("summary").cast("bigint").alias("summary_length"), "summary"
+    )
+
+
+def summarize_corpus(texts: DataFrame, cache_path: str | None, strategy: Strategy) -> DataFrame:
     """(doc_id, summary, cached) for every document given.
 
-    Each distinct unknown text is summarized once and stored, so a failed or
-    repeated run pays only for what is not in the cache yet. The text column
-    is read twice; with few unknown texts it does not move at all, because
-    their stored list is then small enough for Spark to broadcast.
+    Texts are told apart by their whole digest, never by doc_id, which may
+    repeat. Each distinct unknown text is summarized once and stored, so a
+    failed or repeated run pays only for what is not in the cache yet.
+    Without a ``cache_path`` every distinct text is summarized and nothing is
+    kept. A null text has a null summary.
     """
     spark = texts.sparkSession
     keys = stored(content_keys(texts), "content-keys")
-    # The files seen here are those of earlier runs, also after the append.
-    known = read_cache(spark, cache_path).select("hash", "original_length", F.lit(True).alias("cached"))
-    missing = stored(cache_misses(keys, known), "cache-misses")
-    unknown = texts.select("doc_id", "text").join(missing, "doc_id")
-    summaries = strategy(unknown).select(
-        "hash", "original_length", F.length("summary").cast("bigint").alias("summary_length"), "summary"
-    )
-    append_cache(summaries, cache_path)
-    entries = read_cache(spark, cache_path).join(known, ["hash", "original_length"], "left").select(
-        "hash", "original_length", "summary", F.coalesce("cached", F.lit(False)).alias("cached")
+    if cache_path is None:
+        entries = stored(_summarized(texts, cache_misses(keys.where("digest is not null"), keys.limit(0)), strategy), "summaries")
+        entries = entries.withColumn("cached", F.lit(False))
+    else:
+        # The files seen here are those of earlier runs, also after the append.
+        known = read_cache(spark, cache_path, keys).select("digest", F.lit(True).alias("cached"))
+        missing = stored(cache_misses(keys.where("digest is not null"), known), "cache-misses")
+        append_cache(_summarized(texts, missing, strategy), cache_path)
+        entries = read_cache(spark, cache_path, keys).join(known, "digest", "left")
+    found = entries.select("digest", "summary", F.coalesce("cached", F.lit(False)).alias("cached"))
+    return keys.select("doc_id", "digest").join(found, "digest", "left").select(
+        "doc_id", "summary", F.coalesce("cached", F.lit(False)).alias("cached")
     )
-    joined = spread_join(keys, entries, ["hash", "original_length"], F.col("doc_id"))
-    return joined.select("doc_id", "summary", "cached")
 
 
-def preprocess(texts: DataFrame, cache_path: str, strategy: Strategy, max_length: int = MAX_LENGTH) -> DataFrame:
+def preprocess(texts: DataFrame, cache_path: str | None, strategy: Strategy, max_length: int = MAX_LENGTH) -> DataFrame:
     """(doc_id, text): long texts replaced by their summary, others as is.
 
-    Short texts pass through without a shuffle.
+    Short and null texts pass through without a shuffle.
     """
     texts = texts.select("doc_id", "text")
     long = summarize_corpus(texts.where(is_long(max_length)), cache_path, strategy)

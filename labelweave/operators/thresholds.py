@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.operators.metrics import class_count, ratio
+from labelweave.operators.metrics import class_count, predicted, ratio
 from labelweave.plans.sizing import as_array
 
 # Fixed values, in thousandths: the two global grids and the per-class grid.
@@ -105,17 +105,20 @@ def document_count(scored: DataFrame) -> Column:
 
 def per_class_thresholds(
     counts: DataFrame, label_table: DataFrame, n_docs: Column,
-    default: float = DEFAULT_THRESHOLD, by: Sequence[str] = (),
+    default: float = DEFAULT_THRESHOLD, by: Sequence[str] = (), grid: Sequence[float] | None = None,
 ) -> DataFrame:
     """The best threshold of each class, lowest first among equals.
 
     Thresholds that select no document or every document are left out; a
-    class where no threshold scores keeps the default.
+    class where no threshold scores keeps the default. With a ``grid`` only
+    its points are chosen from; ``counts`` may then hold the default as well,
+    which is scored but not chosen.
     """
     useful = (F.col("n_pred") > 0) & (F.col("n_pred") < F.col("n_docs"))
     points = counts.withColumn("n_docs", n_docs).withColumn("f1", F.when(useful, point_f1()))
+    choosable = F.lit(True) if grid is None else F.col("threshold").isin(*grid)
     best = F.max(
-        F.when(F.col("f1") > 0, F.struct(F.col("f1"), (-F.col("threshold")).alias("minus")))
+        F.when(choosable & (F.col("f1") > 0), F.struct(F.col("f1"), (-F.col("threshold")).alias("minus")))
     )
     at_default = F.max(F.when(F.col("threshold") == default, F.col("f1")))
     chosen = points.groupBy(*by, "label").agg(
@@ -138,10 +141,9 @@ def per_class_thresholds(
 
 
 def decisions(scored: DataFrame, p: str, threshold: float = DEFAULT_THRESHOLD, strict: bool = False, cells: str = "cells") -> DataFrame:
-    """(doc_id, label, y_pred): every cell as 0 or 1."""
-    hit = F.col(f"c.{p}") > threshold if strict else F.col(f"c.{p}") >= threshold
-    rows = scored.select("doc_id", F.explode(cells).alias("c"))
-    return rows.select("doc_id", "c.label", hit.cast("int").alias("y_pred"))
+    """(doc_id, ones, n_zeros): the labels decided as 1, and how many are 0."""
+    ones = predicted(cells, p, threshold, strict)
+    return scored.select("doc_id", ones.alias("ones"), (F.size(cells) - F.size(ones)).cast("bigint").alias("n_zeros"))
 
 
 def apply_class_thresholds(scored: DataFrame, thresholds: DataFrame, p: str, cells: str = "cells") -> DataFrame:
@@ -188,6 +190,26 @@ def probability_values(scored: DataFrame, p: str, cells: str = "cells") -> DataF
     )
 
 
+def probability_histogram(scored: DataFrame, p: str, bins: int = 50, cells: str = "cells") -> DataFrame:
+    """(bin, low, high, n) over all cells, binned before they are grouped.
+
+    One pass finds the range and one counts, in as many groups as there are
+    bins, whatever the number of different probabilities.
+    """
+    each = F.transform(F.col(cells), lambda c: c[p].cast("double"))
+    ends = scored.agg(F.min(F.array_min(each)).alias("lo"), F.max(F.array_max(each)).alias("hi"))
+    lo, hi = (ends.select(c).scalar() for c in ("lo", "hi"))
+    marked = scored.select(F.explode(each).alias("v"), lo.alias("lo"), hi.alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) * bins / width), F.lit(bins - 1))).otherwise(0)
+    counted = marked.groupBy(place.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    edge = lambda b: F.col("lo") + b * ((F.col("hi") - F.col("lo")) / bins)
+    all_bins = scored.sparkSession.range(bins).select(F.col("id").alias("bin"), lo.alias("lo"), hi.alias("hi"))
+    return all_bins.join(counted, "bin", "left").select(
+        "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
 def blended(scored: DataFrame, alphas: Sequence[float], p1: str = "p1", p2: str = "p2", cells: str = "cells") -> DataFrame:
     """Each document once per weight, cells holding the blended ``p``."""
     def blend(alpha: Column) -> Column:

@@ -1,38 +1,21 @@
-"""Size-checked use of small tables."""
+"""Class-sized tables inside rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest class list a row may carry as an array. A score row holds one value
-# per class, so this bounds a row, not the corpus.
-MAX_CLASSES = 100_000
-
 
 def as_array(df: DataFrame, value: str | Column, order: str | Column | None = None) -> Column:
-    """A class-sized table as one array-valued scalar subquery.
+    """A table of at most one row per class as one array-valued scalar subquery.
 
-    Ordered by ``order`` (or by the values). More than ``MAX_CLASSES`` rows
-    fail the query instead of growing a row without bound.
+    Ordered by ``order`` (or by the values). For rows that hold one value per
+    class themselves, such as dense scores, or tables cut to a top-n; other
+    class tables are joined.
     """
     value = F.col(value) if isinstance(value, str) else value
     if order is None:
-        collected = F.sort_array(F.collect_list(value))
-    else:
-        order = F.col(order) if isinstance(order, str) else order
-        pairs = F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-        collected = F.transform(pairs, lambda p: p["v"])
-    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes in a per-row array"))
-    checked = F.when(F.count(F.lit(1)) <= MAX_CLASSES, collected).otherwise(too_many)
-    return df.agg(checked.alias("values")).scalar()
-
-
-def spread_over_cores(df: DataFrame, key: str) -> DataFrame:
-    """Deal out a scan that has fewer splits than the session has cores.
-
-    Only small inputs qualify, so a large corpus is never shuffled here. The
-    split count comes from the file listing; no job runs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+        return df.agg(F.sort_array(F.collect_list(value)).alias("values")).scalar()
+    order = F.col(order) if isinstance(order, str) else order
+    pairs = F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
+    return df.agg(F.transform(pairs, lambda p: p["v"]).alias("values")).scalar()

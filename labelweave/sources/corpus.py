@@ -31,31 +31,74 @@ TEXT_COLUMNS = ("sections", "paragraphs", "paras", "text")
 ID_COLUMNS = ("documentid", "doc_id", "id")
 
 
+REJECT = "_corrupt_record"
+# An element that is an object among plain strings, as the reader hands it over.
+OBJECT = "headtext string, paragraphs array<string>, text string"
+
+
 def load_corpus(
-    spark: SparkSession, path: str, schema: T.StructType | None = CORPUS_SCHEMA, fmt: str = "json"
+    spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "json"
 ) -> DataFrame:
     """Scan a corpus. A missing path fails here, before any job runs.
 
-    ``schema=None`` lets JSON be inferred, at the price of one more pass.
+    Without ``schema`` every column of the files is found by one pass over
+    them, whatever its name and shape; a schema saves that pass and reads its
+    own columns only. JSON always carries ``_corrupt_record``, null for a
+    line that parsed; ``without_rejects`` takes the broken lines out.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "json":
         raise ValueError(f"unknown corpus format: {fmt}")
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path)
+    lines = spark.read.text(path)
+    if schema is None:
+        found = spark.read.option("columnNameOfCorruptRecord", REJECT).json(path).schema
+        schema = T.StructType([f for f in found.fields if f.name != REJECT])
+    return parse_lines(lines, schema)
+
+
+def without_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects): lines that parsed, and the text of those that didn't."""
+    broken = F.col(REJECT).isNotNull()
+    return df.where(~broken).drop(REJECT), df.where(broken).select(REJECT)
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
     """Parse a ``value`` column of JSON lines, keeping broken lines aside.
 
     The result has the schema's fields and ``_corrupt_record``, null for a
-    line that parsed.
+    line that parsed. An empty or blank line is no document and is kept aside
+    too.
     """
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    wide = T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
     parsed = F.from_json(F.trim("value"), wide, options)
-    return lines.select(parsed.alias("r")).select("r.*")
+    blank = F.when(~F.coalesce(F.col("value"), F.lit("")).rlike(r"\S"), F.coalesce(F.col("value"), F.lit("")))
+    return lines.select(parsed.alias("r"), blank.alias("blank")).select(
+        *[F.col(f"r.{f}") for f in schema.names], F.coalesce("blank", f"r.{REJECT}").alias(REJECT)
+    )
+
+
+def resolved_sections(df: DataFrame, col: str) -> Column:
+    """``col`` with objects among plain strings told apart.
+
+    Where a corpus mixes plain strings and objects in one list, the reader
+    hands the objects over as JSON text. A plain string counts as one
+    paragraph. Other shapes stay as they are.
+    """
+    dtype = df.schema[col].dataType
+    if not isinstance(dtype, T.ArrayType) or not isinstance(dtype.elementType, T.StringType):
+        return F.col(col)
+    plain = lambda s: F.struct(
+        F.lit(None).cast("string").alias("headtext"), F.array(s).alias("paragraphs"), F.lit(None).cast("string").alias("text")
+    )
+
+    def section(s: Column) -> Column:
+        parsed = F.from_json(s, OBJECT)
+        known = F.coalesce(parsed["headtext"], parsed["text"], parsed["paragraphs"].cast("string")).isNotNull()
+        return F.when(s.startswith("{") & F.coalesce(known, F.lit(False)), parsed).otherwise(plain(s))
+
+    return F.transform(F.array_compact(F.col(col)), section)
 
 
 def cached(df: DataFrame) -> DataFrame:
@@ -111,7 +154,7 @@ def standardize(df: DataFrame) -> DataFrame:
     labels = (
         label_list(df, roles["labels"]) if roles["labels"] else F.array().cast("array<string>")
     )
-    sections = F.col(roles["text"]) if roles["text"] else F.lit(None).cast("string")
+    sections = resolved_sections(df, roles["text"]) if roles["text"] else F.lit(None).cast("string")
     return df.select(
         F.col(roles["id"]).alias("doc_id"), labels.alias("raw"), sections.alias("sections")
     ).select(

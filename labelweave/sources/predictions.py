@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save_predictions(scored: DataFrame, path: str, model: str, split: str) -> None:
-    """Store (doc_id, cells, y_pred) under its model and split.
+def save_all(scored: DataFrame, path: str) -> None:
+    """Store (doc_id, cells, y_pred, model, split) of any number of models and splits in one write.
 
-    Saving again replaces that partition only.
+    The partitions that ``scored`` has rows for are replaced, others stay.
     """
-    scored.select("doc_id", "cells", "y_pred").write.mode("overwrite").parquet(
-        f"{path}/model={model}/split={split}"
-    )
+    scored.select("doc_id", "cells", "y_pred", "model", "split").write.partitionBy("model", "split").option(
+        "partitionOverwriteMode", "dynamic"
+    ).mode("overwrite").parquet(path)
+
+
+def save_predictions(scored: DataFrame, path: str, model: str, split: str) -> None:
+    """Store (doc_id, cells, y_pred) under its model and split; saving again replaces that part only."""
+    save_all(scored.withColumns({"model": F.lit(model), "split": F.lit(split)}), path)
 
 
 def load_predictions(
@@ -33,16 +38,16 @@ def load_predictions(
 def stored_or_scored(
     spark: SparkSession, path: str, model: str, split: str, score: Callable[[], DataFrame]
 ) -> DataFrame:
-    """Stored predictions if complete, otherwise score, store and read back.
+    """Stored predictions if there are any, otherwise score, store and read back.
 
-    The marker a finished write leaves decides, so a write cut short by a
-    failure is scored again.
+    A part appears with its write's commit, so one cut short by a failure is
+    scored again.
     """
-    part = f"{path}/model={model}/split={split}"
     try:
-        spark.read.format("binaryFile").load(f"{part}/_SUCCESS")
+        if not load_predictions(spark, path, model, split).isEmpty():
+            return load_predictions(spark, path, model, split)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        save_predictions(score(), path, model, split)
+    save_predictions(score(), path, model, split)
     return load_predictions(spark, path, model, split)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The layout of a cache entry.
+# The layout of a cache entry as it is exchanged.
 CACHE_SCHEMA = T.StructType(
     [
         T.StructField("hash", T.StringType()),
@@ -28,24 +28,36 @@ def export_json(entries: DataFrame, path: str) -> None:
     entries.select(*CACHE_SCHEMA.names).write.mode("overwrite").json(path)
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The stored cache, empty where nothing has been stored yet.
+# The stored cache tells texts apart by the whole digest of the text.
+STORED_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), *CACHE_SCHEMA.fields])
+
+
+def read_cache(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """The stored cache, one row per text, empty where nothing has been stored yet.
 
     Two runs may have stored the same text; one of their summaries is used.
+    Entries that were imported have no digest. Given ``keys`` (digest, hash,
+    original_length), they take that of the text with their key and length.
     """
     try:
-        stored = spark.read.schema(CACHE_SCHEMA).parquet(path)
+        stored = spark.read.schema(STORED_SCHEMA).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = spark.createDataFrame([], CACHE_SCHEMA)
-    return stored.groupBy("hash", "original_length").agg(F.min("summary").alias("summary")).select(
-        "hash", "original_length", F.length("summary").cast("bigint").alias("summary_length"), "summary"
-    )
+        stored = spark.createDataFrame([], STORED_SCHEMA)
+    if keys is not None:
+        texts = keys.where("digest is not null").groupBy("hash", "original_length").agg(F.min("digest").alias("own"))
+        bare = stored.where("digest is null").join(texts, ["hash", "original_length"])
+        stored = stored.where("digest is not null").unionByName(bare.withColumn("digest", F.col("own")).select(*STORED_SCHEMA.names))
+    one_each = stored.groupBy("digest", "hash", "original_length").agg(F.min("summary").alias("summary"))
+    return one_each.withColumn("summary_length", F.length("summary").cast("bigint")).select(*STORED_SCHEMA.names)
 
 
 def append_cache(entries: DataFrame, path: str) -> None:
-    entries.select(*CACHE_SCHEMA.names).write.mode("append").parquet(path)
+    """Add entries; those without a ``digest`` column are stored without one."""
+    if "digest" not in entries.columns:
+        entries = entries.withColumn("digest", F.lit(None).cast("binary"))
+    entries.select(*STORED_SCHEMA.names).write.mode("append").parquet(path)
 
 
 def cache_statistics(cache: DataFrame) -> DataFrame:

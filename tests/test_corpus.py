@@ -50,6 +50,8 @@ def test_text_only_string_and_scalar_sections(spark):
     assert measured(texts) == [("a b c", "", 2, 2, 0, True)]
     strings = sections_frame(spark, "array<string>", ["a b", "c"], [])
     assert measured(strings) == [("a b c", "a b c", 2, 2, 3, False), ("", "", 0, 0, 0, True)]
+    none = sections_frame(spark, "array<string>", None), sections_frame(spark, "array<struct<text:string>>", None)
+    assert [df.select(nested.paragraph_count(df)).first()[0] for df in none] == [1, 1]
     scalar = sections_frame(spark, "string", "a b c")
     assert measured(scalar) == [("a b c", "a b c", 1, 0, 3, False)]
     assert scalar.select(nested.section_count(scalar, scalar_value=1)).first()[0] == 1
@@ -87,7 +89,7 @@ def test_load_json_lines(spark, tmp_path):
     path = tmp_path / "corpus.txt"
     path.write_text("\n".join(json.dumps(l) for l in lines))
     df = src.load_corpus(spark, str(path))
-    assert src.get_column_names(df) == ["documentId", "postures", "sections"]
+    assert src.get_column_names(df) == ["documentId", "postures", "sections", "_corrupt_record"]
     assert src.get_schema(df)["postures"] == "array<string>"
     cached = src.cached(src.standardize(df))
     assert cached.is_cached and cached.count() == 1
@@ -112,6 +114,29 @@ def test_broken_lines_are_kept_aside(spark):
     assert any(v is not None for v in rows.values())
 
 
+def test_loader_keeps_every_column_shape_and_line(spark, tmp_path):
+    lines = [
+        {"id": "a", "labels": ["p"], "sections": [{"paragraphs": ["one two", "three"]}, {"text": "four"}]},
+        {"id": "b", "labels": None, "sections": ["five six", "{odd", {"headtext": "h", "paragraphs": ["seven"]}]},
+        {"id": "c", "extra": 7, "sections": [{"text": "eight"}]},
+    ]
+    path = tmp_path / "corpus.txt"
+    path.write_text("\n".join([json.dumps(lines[0]), "", json.dumps(lines[1]), '{"id": "cut', "   ", json.dumps(lines[2])]))
+    df = src.load_corpus(spark, str(path))
+    good, rejects = src.without_rejects(df)
+    assert sorted(r[0] for r in rejects.collect()) == ["", "   ", '{"id": "cut']
+    assert set(good.columns) == {"id", "labels", "sections", "extra"}
+    docs = src.standardize(good)
+    rows = docs.select("doc_id", nested.extract_text(docs).alias("t"), nested.paragraph_count(docs).alias("k")).collect()
+    assert sorted(map(tuple, rows)) == [("a", "one two three four", 2), ("b", "five six {odd seven", 3), ("c", "eight", 1)]
+
+
+def test_short_null_and_long_texts_are_all_on_one_side(spark):
+    df = spark.createDataFrame([(1, None), (2, "a b"), (3, "a b c"), (4, "")], "doc_id int, text string")
+    kept, rejected = doc.split_by_length(df, 3)
+    assert [r.doc_id for r in kept.collect()] == [3] and sorted(r.doc_id for r in rejected.collect()) == [1, 2, 4]
+
+
 def test_shorten_and_preview(spark):
     row = spark.range(1).select(shorten(F.lit("abcdef"), 3), shorten(F.lit("abc"), 3)).first()
     assert tuple(row) == ("abc...", "abc")

@@ -12,8 +12,6 @@ from labelweave.functions.stats import two_sided_p
 from labelweave.operators import cooccurrence as co
 from labelweave.operators import labels as lab
 from labelweave.operators import quality as q
-from labelweave.plans import sizing
-from labelweave.plans.skew import spread_join
 
 DOCS = [["a"], ["a", "b"], ["a", "b", "c"], [], ["b", "a"], ["abcde", "a"]]
 
@@ -113,19 +111,3 @@ def test_constant_values_histogram(spark):
     values = spark.createDataFrame([(4, 7)], "value int, n long")
     rows = q.histogram(values, 4).orderBy("bin").collect()
     assert [(r.low, r.n) for r in rows] == [(3.5, 0), (3.75, 0), (4.0, 7), (4.25, 0)]
-
-
-def test_spread_join_keeps_every_row(spark):
-    left = spark.range(1000).select("id", F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 7 + 1).alias("k"))
-    right = spark.createDataFrame([(k, f"v{k}") for k in range(7)], "k int, v string")
-    got = spread_join(left, right, ["k"], F.col("id"), hot_rows=100, ways=8)
-    want = left.join(right, "k", "left")
-    key = lambda r: (r.id, r.k, r.v)
-    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
-
-
-def test_too_many_classes_fail(spark, monkeypatch):
-    monkeypatch.setattr(sizing, "MAX_CLASSES", 3)
-    classes = spark.range(4).select(F.col("id").cast("string").alias("label"))
-    with pytest.raises(Exception, match="more than 3 classes"):
-        spark.range(1).select(sizing.as_array(classes, "label")).collect()

@@ -31,23 +31,27 @@ def evaluated(spark, true, predicted):
     return met.evaluate(met.tally(scored_frame(spark, true, predicted)), label_frame(spark)).first()
 
 
-TRUE = [[1, 0, 1], [0, 1, 0], [1, 1, 0], [0, 0, 1]]
-PRED = [[1, 0, 1], [0, 1, 1], [1, 0, 0], [0, 0, 1]]
+TRUE = [[1, 1, 0], [1, 0, 0], [0, 1, 1], [0, 0, 1], [1, 0, 1]]
+PRED = [[1, 1, 0], [1, 0, 1], [0, 0, 1], [0, 0, 1], [1, 0, 0]]
 
 
 def test_hand_computed_metrics(spark):
     r = evaluated(spark, TRUE, PRED)
-    assert r.f1_micro == r.precision_micro == r.recall_micro == pytest.approx(5 / 6)
-    assert r.f1_macro == r.f1_weighted == pytest.approx(37 / 45)
-    assert r.hamming_loss == pytest.approx(2 / 12)
-    assert r.exact_match == 0.5
-    assert r.f1_samples == pytest.approx(5 / 6)
+    # A 3 hits; B 1 hit, 1 missed; C 2 hits, 1 false, 1 missed.
+    assert (r.precision_micro, r.recall_micro) == (pytest.approx(6 / 7), pytest.approx(6 / 8))
+    assert r.f1_micro == pytest.approx(12 / 15)
+    assert r.f1_macro == pytest.approx((1 + 2 / 3 + 2 / 3) / 3)
+    assert r.f1_weighted == pytest.approx((3 * 1 + 2 * 2 / 3 + 3 * 2 / 3) / 8)
+    assert r.hamming_loss == pytest.approx(3 / 15)
+    assert r.exact_match == 0.4
+    assert r.f1_samples == pytest.approx((1 + 2 / 3 + 2 / 3 + 1 + 2 / 3) / 5)
 
 
 def test_perfect_and_all_wrong(spark):
-    right = evaluated(spark, [[1, 0, 1], [0, 1, 0]], [[1, 0, 1], [0, 1, 0]])
+    right = evaluated(spark, TRUE, TRUE)
     assert (right.f1_micro, right.precision_micro, right.recall_micro, right.exact_match) == (1, 1, 1, 1)
-    assert evaluated(spark, [[1, 0, 0], [0, 1, 0]], [[0, 1, 1], [1, 0, 1]]).f1_micro == 0
+    flipped = [[1 - x for x in row] for row in TRUE]
+    assert evaluated(spark, TRUE, flipped).f1_micro == 0
 
 
 def test_empty_documents_count(spark):
@@ -56,12 +60,19 @@ def test_empty_documents_count(spark):
     assert r.f1_macro == pytest.approx(1 / 3)
 
 
+def test_labels_outside_the_class_table_fail(spark):
+    stray = met.tally(scored_frame(spark, TRUE, PRED))
+    for evaluate in (met.evaluate, met.per_class):
+        with pytest.raises(Exception, match="label outside the class table: C"):
+            evaluate(stray, label_frame(spark, ["A", "B"])).collect()
+
+
 def test_per_class_and_feasibility(spark):
     classes = met.per_class(met.tally(scored_frame(spark, TRUE, PRED)), label_frame(spark, [*LABELS, "D"]))
     rows = {r.label: (r.f1, r.support, r.predicted_count) for r in classes.collect()}
-    assert rows["A"] == (1.0, 2, 2) and rows["D"] == (0.0, 0, 0)
-    assert rows["B"] == (pytest.approx(2 / 3), 2, 1) and rows["C"] == (pytest.approx(0.8), 2, 3)
-    assert [r.label for r in met.top_classes(classes, 2).collect()] == ["A", "C"]
+    assert rows["A"] == (1.0, 3, 3) and rows["D"] == (0.0, 0, 0)
+    assert rows["B"] == (pytest.approx(2 / 3), 2, 1) and rows["C"] == (pytest.approx(2 / 3), 3, 3)
+    assert [r.label for r in met.top_classes(classes, 2).collect()] == ["A", "B"]
     assert [r.label for r in met.bottom_classes(classes, 2).collect()] == ["D", "B"]
     flags = {r.label: (r.automation_feasible, r.high_confidence, r.needs_review) for r in met.feasibility(classes).collect()}
     assert flags == {"A": (True, True, False), "B": (True, False, False), "C": (True, False, False), "D": (False, False, False)}
@@ -244,6 +255,30 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
     assert np.allclose(listed(), whole)
 
 
+def test_penalised_gradient_is_zero_at_the_fit_only(spark):
+    docs = ft.with_terms(toy_training(spark), (), (1, 1))
+    vectors = ft.vectorize(docs, ft.fit_vocabulary(docs))
+    model = bl.fit_baseline(vectors, label_frame(spark, ["A", "B"]))
+    steep = {r.label: r.gradient for r in bl.penalised_gradient(vectors, model).collect() if r.label != "always"}
+    assert max(steep.values()) < 2e-3
+    moved = model.withColumn("intercept", F.col("intercept") + 0.5)
+    assert min(r.gradient for r in bl.penalised_gradient(vectors, moved).collect() if r.label != "always") > 0.1
+
+
+def test_large_degrees_of_freedom():
+    from labelweave.functions.stats import two_sided_p
+
+    assert two_sided_p(1.96, 1e12) == pytest.approx(0.0499957902964, abs=1e-11)
+    assert two_sided_p(2.5, 999_999) == pytest.approx(two_sided_p(2.5, 1_000_001), abs=1e-9)
+    assert two_sided_p(1.0, 1.0) == pytest.approx(0.5)
+
+
+def test_decisions_list_the_ones_and_count_the_zeros(spark):
+    rows = [(1, [("A", 0.9), ("B", 0.5), ("C", 0.1)]), (2, [("A", 0.1)])]
+    df = spark.createDataFrame(rows, "doc_id int, cells array<struct<label:string,p:double>>")
+    assert [tuple(r) for r in th.decisions(df, "p", 0.5).collect()] == [(1, ["A", "B"], 1), (2, [], 1)]
+
+
 def test_second_run_has_no_misses(spark, tmp_path):
     texts = spark.createDataFrame([(1, "w " * 40), (2, "w " * 40), (3, "v " * 50)], "doc_id int, text string")
     calls = spark.sparkContext.accumulator(0)
@@ -270,8 +305,38 @@ def test_head_tail_and_truncate(spark):
     ).first()
     assert row.a == "01234567890123 [...] 456789"
     assert row.b == "01234567890123456789 [...] "
-    text = spark.createDataFrame([("one two, three four",)], "t string")
-    assert text.select(routing.truncated(F.col("t"), 6)).first()[0] == "one two , three"
+    texts = spark.createDataFrame([("Don't  stop, now.",), (" one  two, three four",), (None,), ("",)], "t string")
+    cut = lambda n: [r[0] for r in texts.select(routing.truncated(F.col("t"), n)).collect()]
+    assert cut(8) == ["Don't  stop, now", " one  two, three four", None, ""]
+    assert cut(6) == ["Don't  stop", " one  two, three", None, ""]
+
+
+def test_head_tail_of_a_very_long_text(spark):
+    text = spark.range(1).select(F.repeat(F.lit("word "), 150_000).alias("text"), F.lit(150_002).alias("token_count"))
+    row = routing.head_tail_strategy()(text).first()
+    target = 750_000 * 4096 // 150_002
+    assert len(row.summary) == target + len(routing.GAP) and row.summary.startswith("word word")
+
+
+def test_repeated_ids_keep_their_own_summary(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "alpha " * 9), (1, "beta " * 9), (None, "alpha " * 9), (2, None)], "doc_id int, text string")
+    load = lambda: lambda batch: [t[:4] for t in batch]
+    for path in (str(tmp_path / "cache"), str(tmp_path / "cache"), None):
+        done = routing.summarize_corpus(texts, path, routing.model_strategy(load)).collect()
+        got = sorted(((r.doc_id, r.summary) for r in done), key=repr)
+        assert got == sorted([(1, "alph"), (1, "beta"), (None, "alph"), (2, None)], key=repr)
+
+
+def test_imported_entries_are_found_by_key_and_length(spark, tmp_path):
+    from labelweave.sources import summaries
+
+    texts = spark.createDataFrame([(1, "alpha beta")], "doc_id int, text string")
+    key = routing.content_keys(texts).first()
+    entry = spark.createDataFrame([(key.hash, 10, 3, "old")], summaries.CACHE_SCHEMA)
+    path = str(tmp_path / "cache")
+    summaries.append_cache(entry, path)
+    done = routing.summarize_corpus(texts, path, routing.truncate_strategy()).first()
+    assert (done.summary, done.cached) == ("old", True)
 
 
 def test_predictions_round_trip(spark, tmp_path):
@@ -283,6 +348,10 @@ def test_predictions_round_trip(spark, tmp_path):
     back = pred.load_predictions(spark, path, model="m", split="test").select(*df.columns)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert pred.load_predictions(spark, path).count() == 4
+    odd = df.withColumns({"model": F.lit("a/b=c d"), "split": F.lit("test")})
+    pred.save_all(odd.limit(1), path)
+    assert pred.load_predictions(spark, path, model="a/b=c d", split="test").count() == 1
+    assert pred.load_predictions(spark, path).count() == 5
 
 
 def test_rules(spark):

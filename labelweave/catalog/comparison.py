@@ -7,6 +7,7 @@ from labelweave.catalog.evaluation import metrics_sql, per_class_sql
 from labelweave.catalog.registry import block, query
 from labelweave.operators import comparison as op
 from labelweave.operators import metrics as met
+from labelweave.plans.durable import stored
 
 
 def dense(split: str) -> str:
@@ -61,8 +62,8 @@ ON COLUMNS(* EXCLUDE cfg) INTO NAME metric VALUE v
 )
 
 
-def pairs(spark, sf, split="test"):
-    docs = fixtures.scored(spark, sf).where(F.col("split") == split)
+def pairs(spark, sf, split="test", scored=None):
+    docs = (fixtures.scored(spark, sf) if scored is None else scored).where(F.col("split") == split)
     return docs.select(
         "doc_id", "y_true",
         met.predicted("cells", "p1", 600).alias("y1"), met.predicted("cells", "p2", 600).alias("y2"),
@@ -209,7 +210,11 @@ def m12(spark, sf):
 
 
 def strategies(spark, sf):
-    table = op.strategy_table(pairs(spark, sf), fixtures.classes(spark, sf), versus_df(spark, sf, "val"))
+    """Scored once; test is judged, val compares the models."""
+    scored = stored(fixtures.scored(spark, sf).where(F.col("split") != "train"), "scored", ["split"])
+    classes = stored(fixtures.classes(spark, sf), "classes")
+    versus = op.per_class_comparison(pairs(spark, sf, "val", scored), classes)
+    table = op.strategy_table(pairs(spark, sf, "test", scored), classes, versus)
     return r6(table, "f1_micro", "f1_macro", "precision", "recall")
 
 

@@ -7,6 +7,7 @@ from labelweave.catalog.registry import block, query
 from labelweave.operators import metrics as op
 from labelweave.operators import thresholds as th
 from labelweave.operators.quality import histogram, length_summary
+from labelweave.plans.durable import stored
 
 block(
     "cell_p",
@@ -311,7 +312,8 @@ SELECT 'tuned' AS cfg, doc_id, label, y, p1 >= threshold AS pred FROM cell_p JOI
 """)
 block("dense_global", "SELECT 'global' AS cfg, doc_id, label, y, p1 >= 600 AS pred FROM cell_p WHERE split = 'test'")
 block("dense_default", "SELECT 'half' AS cfg, doc_id, label, y, p1 >= 500 AS pred FROM cell_p WHERE split = 'test'")
-block("dense_configs", "FROM dense_tuned UNION ALL FROM dense_global UNION ALL FROM dense_default")
+block("dense_model2", "SELECT 'model2' AS cfg, doc_id, label, y, p2 >= 500 AS pred FROM cell_p WHERE split = 'test'")
+block("dense_configs", "FROM dense_tuned UNION ALL FROM dense_global UNION ALL FROM dense_default UNION ALL FROM dense_model2")
 block("metric_configs", metrics_sql("dense_configs"))
 block("long_configs", "UNPIVOT (SELECT * FROM metric_configs) ON COLUMNS(* EXCLUDE cfg) INTO NAME metric VALUE v")
 
@@ -411,22 +413,29 @@ def e23b(spark, sf):
 @query(
     "e24_configuration_comparison",
     """
-SELECT metric, h.v AS half, g.v AS "global", t.v AS tuned, round(g.v - h.v, 5) AS gap_global, round(t.v - h.v, 5) AS gap_tuned
+SELECT metric, h.v AS half, g.v AS "global", t.v AS tuned, m.v AS model2, round(g.v - h.v, 5) AS gap_global,
+  round(t.v - h.v, 5) AS gap_tuned, round(m.v - h.v, 5) AS gap_model2
 FROM (FROM long_configs WHERE cfg = 'half') h JOIN (FROM long_configs WHERE cfg = 'global') g USING (metric)
-JOIN (FROM long_configs WHERE cfg = 'tuned') t USING (metric)
+JOIN (FROM long_configs WHERE cfg = 'tuned') t USING (metric) JOIN (FROM long_configs WHERE cfg = 'model2') m USING (metric)
 """,
 )
 def e24(spark, sf):
-    tuned = th.apply_class_thresholds(test_docs(spark, sf), class_thresholds(spark, sf), "p1")
+    """Three thresholds of one model, and a second model; scored once."""
+    scored = stored(fixtures.scored(spark, sf), "scored", ["split"])
+    classes = stored(fixtures.classes(spark, sf), "classes")
+    val = scored.where(F.col("split") == "val")
+    limits = th.per_class_thresholds(th.sweep_counts(val, "p1", th.CLASS_GRID), classes, th.document_count(val))
+    tuned = th.apply_class_thresholds(scored.where(F.col("split") == "test"), limits, "p1")
     configs = {
         "half": op.predicted("cells", "p1", 500),
         "global": op.predicted("cells", "p1", 600),
         "tuned": F.col("y_pred"),
+        "model2": op.predicted("cells", "p2", 500),
     }
     tallied = op.tally(op.stacked(tuned, configs), by=["config"])
-    metrics = r6(op.evaluate(tallied, fixtures.classes(spark, sf), by=["config"]), *op.METRICS)
-    table = op.compare_configurations(metrics, "config", ("half", "global", "tuned"), "half")
-    return table.withColumns({c: F.round(c, 5) for c in ("gap_global", "gap_tuned")})
+    metrics = r6(op.evaluate(tallied, classes, by=["config"]), *op.METRICS)
+    table = op.compare_configurations(metrics, "config", tuple(configs), "half")
+    return table.withColumns({c: F.round(c, 5) for c in ("gap_global", "gap_tuned", "gap_model2")})
 
 
 @query(

@@ -12,6 +12,7 @@ from labelweave.catalog.registry import block, query
 from labelweave.operators import hierarchy as op
 from labelweave.operators import metrics as met
 from labelweave.operators import thresholds as th
+from labelweave.plans.durable import stored
 
 IS_A = (("q:lo:toxic", "q:lo"), ("q:lo", "quality"), ("q:hi", "quality"))
 REQUIRES = {"toxic": ("lang:en", "lang:de"), "q:lo:toxic": ("q:lo",)}
@@ -102,7 +103,7 @@ FROM label_n LEFT JOIN (SELECT * FROM blend_points WHERE f > 0
 """,
 )
 def x03(spark, sf):
-    val = fixtures.scored(spark, sf).where(F.col("split") == "val")
+    val = stored(fixtures.scored(spark, sf).where(F.col("split") == "val"), "scored")
     best = th.per_class_blend(val, fixtures.classes(spark, sf), ALPHAS)
     return best.withColumn("f1", F.round("f1", 6))
 

@@ -8,11 +8,13 @@ once per document, and popular lists cost one row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from labelweave.plans.durable import stored
 from labelweave.plans.sizing import as_array
 
 
@@ -192,20 +194,19 @@ def family_matrix(directed: DataFrame, family: Sequence[str]) -> DataFrame:
 
 
 def overlap_summary(sets: DataFrame, rare_below: int = 50, common_from: int = 100) -> DataFrame:
-    counts = set_label_counts(sets)
-    pairs = pair_counts(sets)
+    """One row of counts; the distinct lists, their labels and pairs are each worked out once."""
+    sets = stored(sets, "label-sets")
+    counts = stored(set_label_counts(sets), "label-counts")
+    pairs = pair_counts(sets).agg(F.count(F.lit(1)).alias("n_pairs"), F.max("n").alias("top_pair"))
     rare = rare_companionship(sets, counts, rare_below, common_from)
     k, n = F.size("labels"), F.col("n_docs")
     in_sets = sets.agg(
         F.sum(F.when(k == 1, n).otherwise(0)).alias("n_single"),
         F.sum(F.when(k > 1, n).otherwise(0)).alias("n_multi"),
     )
-    return in_sets.withColumns(
-        {
-            "n_pairs": pairs.agg(F.count(F.lit(1))).scalar(),
-            "top_pair": pairs.agg(F.max("n")).scalar(),
-            "n_prefix": prefix_pairs(counts).agg(F.count(F.lit(1))).scalar(),
-            "n_never_alone": rare.agg(F.count_if("never_alone")).scalar(),
-            "n_always_with_common": rare.agg(F.count_if("always_with_common")).scalar(),
-        }
+    prefixes = prefix_pairs(counts).agg(F.count(F.lit(1)).alias("n_prefix"))
+    alone = rare.agg(
+        F.count_if("never_alone").alias("n_never_alone"), F.count_if("always_with_common").alias("n_always_with_common")
     )
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (in_sets, pairs, prefixes, alone))
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

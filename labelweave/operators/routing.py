@@ -27,6 +27,7 @@ def analyze_lengths(texts: DataFrame, max_length: int = MAX_LENGTH, count: Colum
     """(doc_id, token_count, exceeds_limit, route)"""
     counted = texts.select("doc_id", (token_count(F.col("text")) if count is None else count).alias("token_count"))
     exceeds = F.col("token_count") > max_length
+    # The words for the two routes.
     return counted.withColumns(
         {"exceeds_limit": exceeds, "route": F.when(exceeds, "summarize").otherwise("direct")}
     )

@@ -32,6 +32,24 @@ def test_query_equals_sql(spark, small, con, name):
     assert check.compare(df, con, ORACLES[name]) is None
 
 
+NARROW = ("d10_preview_unlabelled", "q03_duplicate_label_consistency", "q04_cohort_profile", "q05_t_test_words", "q05_t_test_sections", "q06_cohort_anomalies")
+
+
+@pytest.mark.parametrize("name", NARROW)
+def test_no_exchange_carries_text(spark, small, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        execution = QUERIES[name](spark, small)._jdf.queryExecution()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = execution.explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    nodes = re.findall(r"\(\d+\) (\w+)\n(?:Input|Output) \[\d+\]: \[([^\n]*)\]", plan)
+    shuffled = [columns for node, columns in nodes if node == "Exchange"]
+    assert shuffled and not any(re.search(r"\b(text|sections)#", columns) for columns in shuffled)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert sorted(set(QUERIES) - set(ORACLES)) == ["p13_fit_baseline"]

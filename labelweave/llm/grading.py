@@ -96,15 +96,16 @@ class Model:
 
 def solve(
     rows: list[np.ndarray], grades: np.ndarray, n_grades: int,
-    epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, least_rows: int = 3, batch: int = 64,
+    epochs: int = 40, rate: float = 0.1, decay: float = 1e-3, least_share: float = 0.0025, batch: int = 64,
 ) -> Model:
     """Maximum likelihood by AdaGrad over shuffled batches, the same on every run.
 
-    Slots in fewer than ``least_rows`` rows keep weight zero. Thresholds stay
-    ordered because their gaps are exponentials.
+    Slots in less than ``least_share`` of the rows, or in fewer than three,
+    keep weight zero. Thresholds stay ordered because their gaps are
+    exponentials.
     """
     order = np.random.default_rng(0)
-    usable = np.bincount(np.concatenate(rows), minlength=SLOTS) >= least_rows
+    usable = np.bincount(np.concatenate(rows), minlength=SLOTS) >= max(3, least_share * len(rows))
     rows = [r[usable[r]] for r in rows]
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))

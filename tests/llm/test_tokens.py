@@ -70,6 +70,7 @@ def test_packing_query(spark, small, texts, whole):
     assert 1024 * n < 1.02 * total + 2048
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_best_fit_decreasing_is_that_of_a_plain_search(sizes):
     free = []

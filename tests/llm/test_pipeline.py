@@ -20,7 +20,7 @@ def test_stages_and_run(spark, small):
         assert len(after) == out.count() and set(after) <= set(before)
         if number == 0:
             judged = {r["doc_id"]: r for r in language.predict(docs, language.fit(docs)).collect()}
-            assert set(after) == {i for i, r in judged.items() if r["lang_pred"] != "und" and r["score"] >= 0.4}
+            assert set(after) == {i for i, r in judged.items() if r["lang_pred"] != "und" and r["score"] >= 0.3}
         elif number == 1:
             rated = grading.ratings(spark.read.parquet(f"{small}/labels.parquet"))
             judged = grading.grade(docs, grading.fit(docs, rated)).collect()

@@ -19,9 +19,28 @@ def shared_root(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+# Folders handed out by this driver and not removed yet.
+_runs: list[str] = []
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's written tables."""
-    return f"{shared_root(spark)}/labelweave/{name}-{uuid.uuid4().hex}"
+    _runs.append(f"{shared_root(spark)}/labelweave/{name}-{uuid.uuid4().hex}")
+    return _runs[-1]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_runs(spark: SparkSession) -> None:
+    """Remove every folder that this driver was given by ``run_dir``.
+
+    For the end of a job: results that were only read from there go with it.
+    """
+    while _runs:
+        _delete(spark, _runs.pop())
 
 
 def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -42,5 +61,4 @@ def discard(df: DataFrame) -> None:
     root = f"{shared_root(spark)}/labelweave/".split(":", 1)[-1].lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.split(":", 1)[-1].lstrip("/").startswith(root):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from labelweave.plans.durable import remove_runs  # noqa: E402
 from labelweave.session import local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -14,6 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = local_session(4, "labelweave-tests")
     yield session
+    remove_runs(session)
     session.stop()
 
 

@@ -161,3 +161,16 @@ def test_token_counts_and_real_tokenizer_slot(spark):
 
     rows = df.select(token_count(F.col("t")).alias("a"), tokenizer_count(F.col("t"), load).alias("b")).collect()
     assert [(r.a, r.b) for r in rows] == [(7, 18), (2, 0)]
+
+
+def test_written_folders_are_fresh_and_go_at_the_end(spark, tmp_path, monkeypatch):
+    from labelweave.plans import durable
+
+    monkeypatch.setattr(durable, "shared_root", lambda spark: str(tmp_path))
+    monkeypatch.setattr(durable, "_runs", [])
+    kept, gone = (durable.stored(spark.range(n), "numbers") for n in (3, 4))
+    assert (kept.count(), gone.count()) == (3, 4)
+    durable.discard(gone)
+    assert len(list((tmp_path / "labelweave").iterdir())) == 1 and kept.count() == 3
+    durable.remove_runs(spark)
+    assert list((tmp_path / "labelweave").iterdir()) == []

@@ -23,7 +23,7 @@ from labelweave.llm.worker import shared, slices
 
 SLOTS = 1 << 18
 PREFIXES = (4, 5)
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 GRADED = ("expected_grade", "tail_probability")
 
 
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, rated: DataFrame, n_grades: int = 3, fit_rows: int = 80
     chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared("graded words", dict)
+        known = shared("grading", "words", dict)
         for batch in slices(batches, 256):
             rows = [features(t, known) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
@@ -191,7 +191,7 @@ def annotate(docs: DataFrame, model: Model | None, names: Sequence[str] = GRADED
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value, shared("graded words", dict)
+        model, known = sent.value, shared("grading", "words", dict)
         for batch in slices(batches, 256):
             expected = tail = [None] * batch.num_rows
             if model is not None:

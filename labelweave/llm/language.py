@@ -42,7 +42,7 @@ def grams(text: str | None) -> np.ndarray:
     end of the text, is one blank.
     """
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    points = shared("letters", _letters)[points]
+    points = shared("language", "letters", _letters)[points]
     blank = points == ord(" ")
     if blank.all():
         return np.empty(0, dtype=np.int64)
@@ -69,8 +69,11 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        kernel = shared(("language", self.key), lambda: Kernel(self.landmarks))
-        return kernel.with_landmarks(texts) @ self.weights
+        kernels = shared("language", "kernel", dict)
+        if self.key not in kernels:
+            kernels.clear()
+            kernels[self.key] = Kernel(self.landmarks)
+        return kernels[self.key].with_landmarks(texts) @ self.weights
 
 
 class Kernel:

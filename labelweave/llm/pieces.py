@@ -206,7 +206,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """This worker's codec for a model file."""
-    return shared(("pieces", path), lambda: Codec(path))
+    return shared("pieces", path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

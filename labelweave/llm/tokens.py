@@ -95,4 +95,4 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    return shared(("encoder", path), lambda: Encoder(path))
+    return shared("tokens", path, lambda: Encoder(path))

@@ -10,16 +10,19 @@ from typing import Any
 import pyarrow as pa
 
 
-def shared(key: Hashable, make: Callable[[], Any]) -> Any:
-    """The object under ``key`` in this process, made on first use.
+def shared(operator: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """The object that ``operator`` keeps under ``key`` in this process, made on first use.
 
     Package code travels by value with each task, so module globals start
-    anew there; a module registered in the interpreter lasts.
+    anew there; a module registered in the interpreter lasts. Workers live
+    through many stages, so the objects of one operator are kept at a time.
     """
-    kept = sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    worker = sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker"))
+    if getattr(worker, "operator", None) != operator:
+        worker.operator, worker.kept = operator, {}
+    if key not in worker.kept:
+        worker.kept[key] = make()
+    return worker.kept[key]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -91,7 +91,8 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     differing bits leave one of them with at most one.
     """
     rows = stored(fps.select("fp").distinct(), "fingerprints")
-    table = rows.select("fp", _segments().alias("s")).select("fp", "s.segment", "s.key")
+    # Spark judges a side before its balls are enumerated, so it is told not to broadcast it.
+    table = rows.select("fp", _segments().alias("s")).select("fp", "s.segment", "s.key").hint("merge")
     probes = table.select(F.col("fp").alias("probe"), "segment", "key", _ball("key", 32).alias("near")).select(
         "probe", "segment", F.col("near").alias("key"), (F.col("near") == F.col("key")).alias("same")
     )
@@ -101,9 +102,10 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     if hot.isEmpty():
         found = probes.join(table, (probes.segment == table.segment) & (probes.key == table.key) & close)
         return found.select(F.col("probe").alias("a"), F.col("fp").alias("b"))
-    cool = table.join(hot, place, "left_anti")
+    cool = table.join(hot, place, "left_anti").hint("merge")
     found = probes.join(cool, (probes.segment == cool.segment) & (probes.key == cool.key) & close)
-    warm = table.join(hot, place, "left_semi").select("*", _quarters(ball=False).alias("q")).select("fp", *place, "q.quarter", "q.part")
+    warm = table.join(hot, place, "left_semi").select("*", _quarters(ball=False).alias("q"))
+    warm = warm.select("fp", *place, "q.quarter", "q.part").hint("merge")
     ask = (
         probes.join(hot, place, "left_semi").withColumnRenamed("probe", "fp")
         .select("*", _quarters(ball=True).alias("q"))

@@ -144,8 +144,10 @@ def _close_tiles(tiles: DataFrame, threshold: float) -> DataFrame:
     reach = F.expr(near) + 1
     last = F.least(reach, F.max("i").over(group))
     numbered = stored(numbered.select(*place, "tile", "i", last.alias("last")), "tile-order")
-    ahead = numbered.select(*place, "tile", F.explode(F.sequence("i", "last")).alias("i"))
-    return ahead.join(numbered.select(*place, "i", F.col("tile").alias("other")), [*place, "i"]).select("tile", "other")
+    # Spark judges a side before it is exploded, so the pairs are not broadcast but written at their true size.
+    ahead = numbered.select(*place, "tile", F.explode(F.sequence("i", "last")).alias("i")).hint("merge")
+    pairs = ahead.join(numbered.select(*place, "i", F.col("tile").alias("other")), [*place, "i"])
+    return stored(pairs.select("tile", "other"), "tile-pairs")
 
 
 def linked(

@@ -10,6 +10,7 @@ that space. A batch of texts is scored by two matrix products.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -23,6 +24,9 @@ from pyspark.sql import types as T
 from labelweave.llm.worker import shared, slices
 
 UNKNOWN = "und"
+COMMON = 3  # so many landmarks must have a 3-gram; fewer may be texts that quote another language
+LEAST_OF_USUAL = 0.75
+WITH_DIGIT = re.compile(r"\S*\d\S*")
 BITS = 21  # a code point fits
 LAST_CODE_POINT = 0x10FFFF
 
@@ -61,19 +65,33 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Landmarks as gram sets, and a weight for each landmark and language."""
+    """Landmarks as gram sets, and a weight for each landmark and language.
+
+    ``floors`` has for each language the share of 3-grams common among the
+    landmarks below which a text is like none of its texts.
+    """
 
     languages: list[str]
     landmarks: list[np.ndarray]
     weights: np.ndarray
+    floors: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+    def kernel(self) -> Kernel:
         kernels = shared("language", "kernel", dict)
         if self.key not in kernels:
             kernels.clear()
             kernels[self.key] = Kernel(self.landmarks)
-        return kernels[self.key].with_landmarks(texts) @ self.weights
+        return kernels[self.key]
+
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        return self.kernel().with_landmarks(texts) @ self.weights
+
+    def is_like(self, texts: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
+        """Whether each text's common share reaches the floors, weighted by its positive regression values."""
+        total = positive.sum(axis=1)
+        floors = positive @ self.floors / np.where(total > 0, total, 1)
+        return (total > 0) & (self.kernel().common_share(texts) >= floors)
 
 
 class Kernel:
@@ -82,6 +100,7 @@ class Kernel:
     def __init__(self, landmarks: list[np.ndarray]):
         self.known = np.unique(np.concatenate(landmarks))
         self.columns = self._presence(landmarks).T.copy()
+        self.counts = self.columns.sum(axis=1)
         self.sizes = np.array([max(len(z), 1) for z in landmarks], dtype=np.float64)
 
     def _presence(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -95,6 +114,17 @@ class Kernel:
         sizes = np.array([max(len(t), 1) for t in texts], dtype=np.float64)
         return (self._presence(texts) @ self.columns) / np.sqrt(sizes[:, None] * self.sizes)
 
+    def common_share(self, texts: list[np.ndarray], least: int = COMMON) -> np.ndarray:
+        """The share of each text's 3-grams that at least ``least`` landmarks have."""
+        known = self.known[self.counts >= least]
+        out = np.zeros(len(texts))
+        for i, found in enumerate(texts):
+            three = found[np.searchsorted(found, 1 << 2 * BITS) :]
+            if len(three) and len(known):
+                at = np.minimum(np.searchsorted(known, three), len(known) - 1)
+                out[i] = (known[at] == three).mean()
+        return out
+
 
 def solve(texts: list[np.ndarray], langs: list[str], landmarks: int = 128, ridge: float = 1e-3) -> Model:
     """Kernel ridge regression of 0/1 targets per language on Nyström features."""
@@ -116,7 +146,19 @@ def solve(texts: list[np.ndarray], langs: list[str], landmarks: int = 128, ridge
         gram += features.T @ features
         moment += features.T @ target
     solved = np.linalg.solve(gram + ridge * len(texts) * np.eye(size), moment)
-    return Model(languages, chosen, inverse_root @ solved)
+    return Model(languages, chosen, inverse_root @ solved, _floors(kernel, languages, chosen, texts, langs))
+
+
+def _floors(kernel: Kernel, languages: list[str], chosen: list[np.ndarray], texts: list[np.ndarray], langs: list[str]) -> np.ndarray:
+    """Three quarters of the common share that 99 % of each language's texts reach, a landmark by the other landmarks."""
+    landmark = {z.tobytes() for z in chosen}
+    shares: dict[str, list[float]] = {language: [] for language in languages}
+    for start in range(0, len(texts), 256):
+        part = texts[start : start + 256]
+        alone, among = kernel.common_share(part), kernel.common_share(part, COMMON + 1)
+        for text, language, a, b in zip(part, langs[start : start + 256], alone, among):
+            shares[language].append(b if text.tobytes() in landmark else a)
+    return np.array([LEAST_OF_USUAL * np.quantile(shares[language], 0.01) for language in languages])
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -153,7 +195,10 @@ def annotate(docs: DataFrame, model: Model | None, names: Sequence[str] = ("lang
     letters that no landmark has give the first language with score 0; ties
     go to the first language by name; without a model all are ``und``.
     Repeated rows are predicted alike; an empty table gives no rows; other
-    columns pass through, but for those called ``names``.
+    columns pass through, but for those called ``names``. A third name adds
+    whether the text is like any of the languages at all, by the share of its
+    3-grams that are common among the landmarks: the score can't tell, as it is high when
+    a single small value is positive.
     """
     names = list(names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -162,7 +207,7 @@ def annotate(docs: DataFrame, model: Model | None, names: Sequence[str] = ("lang
         model = sent.value
         for batch in slices(batches, 128):
             found = [grams(t) for t in batch.column("text").to_pylist()]
-            best_names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
+            best_names, scores, like = [UNKNOWN] * len(found), np.zeros(len(found)), np.zeros(len(found), dtype=bool)
             if model is not None:
                 positive = np.maximum(model.scores(found), 0)
                 best = positive.argmax(axis=1)
@@ -171,13 +216,18 @@ def annotate(docs: DataFrame, model: Model | None, names: Sequence[str] = ("lang
                 for i, text in enumerate(found):
                     if len(text):
                         best_names[i], scores[i] = model.languages[best[i]], share[i]
-            yield pa.record_batch(
-                [*batch.columns, pa.array(best_names, pa.string()), pa.array(scores)], names=[*batch.schema.names, *names]
-            )
+                if len(names) > 2:
+                    like = model.is_like(found, positive)
+                    again = np.flatnonzero(~like)  # a few words beside a key or a number are still a text
+                    if len(again):
+                        prose = [grams(WITH_DIGIT.sub(" ", batch.column("text")[int(i)].as_py() or "")) for i in again]
+                        like[again] = model.is_like(prose, positive[again])
+            judged = [pa.array(best_names, pa.string()), pa.array(scores), pa.array(like)]
+            yield pa.record_batch([*batch.columns, *judged[: len(names)]], names=[*batch.schema.names, *names])
 
     kept = docs.drop(*names)
-    added = T.StructType().add(names[0], "string").add(names[1], "double")
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
+    added = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

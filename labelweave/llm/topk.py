@@ -86,7 +86,7 @@ def search(lists: Lists, query: np.ndarray, k: int, own: int | None = None) -> S
     beyond that.
     """
     n, dim = lists.vectors.shape
-    most = float(np.abs(lists.vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, dim)
+    most = int(np.abs(lists.vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) * max(1, dim)
     kind = np.float64 if most < EXACT else object
 
     def exact(x: np.ndarray) -> np.ndarray:
@@ -94,7 +94,10 @@ def search(lists: Lists, query: np.ndarray, k: int, own: int | None = None) -> S
 
     def resolved(rows: np.ndarray, depth: int) -> Search:
         scores = exact(lists.vectors[rows]) @ exact(query) if dim else exact(np.zeros(len(rows)))
-        best = np.lexsort((rows, np.array([-s for s in scores], dtype=kind)))[:k]
+        if len(rows) > k:
+            among = scores >= np.sort(scores)[-k]
+            rows, scores = rows[among], scores[among]
+        best = np.lexsort((rows, -scores))[:k]
         return Search(rows[best], scores[best], depth)
 
     used = np.flatnonzero(query)
@@ -102,39 +105,41 @@ def search(lists: Lists, query: np.ndarray, k: int, own: int | None = None) -> S
     if rest <= k or not len(used):
         rows = np.arange(n)
         return resolved(rows[rows != own] if own is not None else rows, 0)
-    weights, falling = exact(query[used]), query[used] > 0
-    least = weights * exact(np.where(falling, lists.sorted[used, -1], lists.sorted[used, 0]))
+    # Lists with a negative weight are read from their other end.
+    used = np.concatenate([used[query[used] > 0], used[query[used] < 0]])
+    falling = int((query > 0).sum())
+    weights = exact(query[used])
+    least = weights * exact(np.concatenate([lists.sorted[used[:falling], -1], lists.sorted[used[falling:], 0]]))
     known = np.zeros(n, dtype=kind)
-    seen = np.zeros((n, len(used)), dtype=bool)
-    depth, few = 0, max(4 * k, 64)
-    while True:
-        start, depth = depth, min(n, 2 * depth or max(k, n // 64))
-        # Lists with a negative weight are read from their other end.
-        at = np.where(falling[:, None], np.arange(start, depth), n - 1 - np.arange(start, depth))
-        met = lists.ranked[used[:, None], at]
-        products = weights[:, None] * exact(lists.sorted[used[:, None], at])
+    seen = np.zeros((len(used), n), dtype=bool)
+    depth, few = 0, 4 * k
+    never = -np.inf if kind is np.float64 else -(int(most) + 1) * 4
+
+    def step(table: np.ndarray, start: int, end: int) -> np.ndarray:
+        return np.concatenate([table[used[:falling], start:end], table[used[falling:], n - end : n - start][:, ::-1]])
+
+    while depth < n:
+        start, depth = depth, min(n, depth + max(k, n // 8))
+        met = step(lists.ranked, start, depth)
+        products = weights[:, None] * exact(step(lists.sorted, start, depth))
         if kind is np.float64:
             known += np.bincount(met.reshape(-1), weights=products.reshape(-1), minlength=n)
         else:
             np.add.at(known, met, products)
-        seen[met, np.arange(len(used))[:, None]] = True
-        if depth == n:
-            rows = np.arange(n)
-            return resolved(rows[rows != own] if own is not None else rows, depth)
-        most_left = products[:, -1]
-        touched = np.flatnonzero(seen.any(axis=1))
+        for row, read in zip(seen, met):
+            row[read] = True
         if own is not None:
-            touched = touched[touched != own]
-        if len(touched) < k:
-            continue
-        unseen = (~seen[touched]).astype(kind)
-        lower = known[touched] + unseen @ least
-        qualifying = np.sort(lower)[-k] if kind is object else np.partition(lower, -k)[-k]
-        if qualifying <= most_left.sum():
-            continue
-        able = touched[known[touched] + unseen @ most_left >= qualifying]
-        if len(able) <= few:
-            return resolved(able, depth)
+            known[own] = never
+        most_left = products[:, -1]
+        # The k-th best lower bound of any rows is one of all rows.
+        leading = np.argsort(known)[-few:] if kind is object else np.argpartition(known, -few)[-few:] if few < n else np.arange(n)
+        lower = known[leading] + least @ (~seen[:, leading]).astype(kind)
+        qualifying = np.sort(lower)[-k]
+        if qualifying > most_left.sum():
+            break
+    able = np.flatnonzero(known + np.maximum(most_left, 0).sum() >= qualifying)
+    able = able[known[able] + most_left @ (~seen[:, able]).astype(kind) >= qualifying]
+    return resolved(able, depth)
 
 
 def _marked(vectors: DataFrame, scale: float) -> DataFrame:

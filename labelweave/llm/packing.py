@@ -9,8 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.tokens import encoder
-from labelweave.llm.worker import slices
+from labelweave.llm.tokens import encoder, texts_together
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 ID_BYTES = 4
@@ -109,10 +108,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
             rests.clear()
             return out
 
-        for batch in slices(batches, 256):
+        for batch in texts_together(batches):
             full = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 ids += end
                 total, start = len(ids) // ID_BYTES, 0
                 while total - start >= window:

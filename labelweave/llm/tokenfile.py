@@ -4,8 +4,10 @@ A file is an Arrow IPC file with the columns ``ids``, a fixed-size list of
 unsigned integers in the narrowest width that the vocabulary needs, and
 ``mask``, a fixed-size list of bits that are false where the last sequence is
 padded. Both are uncompressed, so a reader that maps the file gets at any
-sequence without copying. The schema's metadata holds the doc_ids of the file
-and their numbers of ids, as little-endian 64-bit integers.
+sequence without copying, and one that doesn't reads no more than the batches
+it asks for. The schema's metadata holds the doc_ids of the file and their
+numbers of ids, as little-endian 64-bit integers, and a bit for each that
+tells whether it has a doc_id.
 """
 
 from __future__ import annotations
@@ -15,18 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.llm.files import committed
-from labelweave.llm.tokens import encoder
-from labelweave.llm.worker import slices
+from labelweave.llm.tokens import encoder, texts_together
 from labelweave.plans.durable import run_dir, stored
 
 MANIFEST = "file string, n_docs bigint, n_ids bigint"
 DOCUMENTS = "file string, nth bigint, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
-NO_ID = -(2**63)
 
 
 def _batches(ids: np.ndarray, length: int, rows: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,8 @@ def write(
             nonlocal size, nth
             name = f"part-{TaskContext.get().partitionId():06d}-{nth:06d}.arrow"
             meta = {
-                "doc_ids": np.array([NO_ID if i is None else i for i, _ in held], dtype="<i8").tobytes(),
+                "doc_ids": np.array([i or 0 for i, _ in held], dtype="<i8").tobytes(),
+                "named": np.packbits([i is not None for i, _ in held], bitorder="little").tobytes(),
                 "n_tokens": np.array([len(x) for _, x in held], dtype="<i8").tobytes(),
             }
             kinds = (pa.from_numpy_dtype(width), pa.bool_())
@@ -79,9 +81,8 @@ def write(
             size, nth = 0, nth + 1
             return row
 
-        for batch in slices(batches, 256):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encode.encode(texts)):
+        for batch in texts_together(batches):
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text"))):
                 held.append((doc_id, np.frombuffer(raw + end, dtype="<u4").astype(width)))
                 size += len(held[-1][1])
                 if size >= ids_per_file:
@@ -95,60 +96,69 @@ def write(
 
 
 class Sequences:
-    """Random access to one file: sequence ``i`` as views on the file's bytes."""
+    """Random access to one file; only the batches asked for are read.
+
+    From a mapped file or a buffer the sequences and masks are views on its bytes.
+    """
 
     def __init__(self, source: pa.NativeFile | pa.Buffer):
         self.reader = pa.ipc.open_file(source)
         meta = self.reader.schema.metadata
-        self.doc_ids = np.frombuffer(meta[b"doc_ids"], dtype="<i8")
         self.n_tokens = np.frombuffer(meta[b"n_tokens"], dtype="<i8")
+        named = np.unpackbits(np.frombuffer(meta[b"named"], dtype=np.uint8), count=len(self.n_tokens), bitorder="little")
+        self.doc_ids = pa.array(np.frombuffer(meta[b"doc_ids"], dtype="<i8"), mask=named == 0)
         self.length = self.reader.schema.field("ids").type.list_size
-        first = self.reader.get_batch(0) if self.reader.num_record_batches else None
-        self.rows = first.num_rows if first else 0
+        self.last = (-1, None)
+        self.rows = self._batch(0).num_rows if self.reader.num_record_batches else 0
 
-    def ids(self, i: int) -> np.ndarray:
-        batch = self.reader.get_batch(i // self.rows)
-        return self._values(batch)[i % self.rows]
+    def _batch(self, n: int) -> pa.RecordBatch:
+        if self.last[0] != n:
+            self.last = (n, self.reader.get_batch(n))
+        return self.last[1]
 
-    def mask(self, i: int) -> np.ndarray:
-        column = self.reader.get_batch(i // self.rows).column("mask")
-        return column[i % self.rows].values.to_numpy(zero_copy_only=False)
+    def _values(self, n: int) -> np.ndarray:
+        return self._batch(n).column("ids").values.to_numpy(zero_copy_only=True)
+
+    def ids(self, i: int) -> np.ndarray:
+        """Sequence ``i``, with its padding."""
+        return self._values(i // self.rows).reshape(-1, self.length)[i % self.rows]
 
-    def _values(self, batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column("ids").values.to_numpy(zero_copy_only=True).reshape(-1, self.length)
+    def mask(self, i: int) -> pa.BooleanArray:
+        """Which ids of sequence ``i`` are not padding, as a view on the file's bits."""
+        return self._batch(i // self.rows).column("mask")[i % self.rows].values
 
-    def stream(self) -> Iterator[np.ndarray]:
-        """The ids of each batch without the padding, in order."""
-        for i in range(self.reader.num_record_batches):
-            batch = self.reader.get_batch(i)
-            ids = self._values(batch).reshape(-1)
-            mask = batch.column("mask").values
-            yield ids if mask.false_count == 0 else ids[mask.to_numpy(zero_copy_only=False)]
+    def span(self, start: int, stop: int) -> np.ndarray:
+        """The ids from ``start`` to ``stop``, counted over all sequences of the file."""
+        size = self.rows * self.length
+        parts = [self._values(n)[max(0, start - n * size) : stop - n * size] for n in range(start // size, -(-stop // size))]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document in the files of ``folder``, with a checksum over its ids."""
+def read(manifest: DataFrame, folder: str) -> DataFrame:
+    """Every document in the files of ``folder`` that ``manifest`` names, with a checksum over its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            path, content = batch.column("path")[0].as_py(), batch.column("content")[0]
-            file = Sequences(content.as_buffer())
-            ids = np.concatenate([*file.stream(), np.empty(0, np.uint16)])
-            ends = np.cumsum(file.n_tokens)
-            before = ends - file.n_tokens
-            sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(before.tolist(), ends.tolist())]
-            n = len(ends)
-            yield pa.record_batch(
-                [
-                    pa.array([path.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(range(n), pa.int64()),
-                    pa.array([None if i == NO_ID else i for i in file.doc_ids.tolist()], pa.int64()),
-                    pa.array(before), pa.array(file.n_tokens), pa.array(sums, pa.int64()),
-                ],
-                names=["file", "nth", "doc_id", "before", "n_tokens", "ids_crc32"],
-            )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder)
-    return files.select("path", "content").mapInArrow(run, DOCUMENTS)
+        store, root = fs.FileSystem.from_uri(folder)
+        if isinstance(store, fs.LocalFileSystem):
+            store = fs.LocalFileSystem(use_mmap=True)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with store.open_input_file(f"{root}/{name}") as source:
+                    file = Sequences(source)
+                    ends = np.cumsum(file.n_tokens)
+                    before = ends - file.n_tokens
+                    sums = [zlib.crc32(file.span(a, b).astype("<u4").tobytes()) for a, b in zip(before.tolist(), ends.tolist())]
+                    n = len(ends)
+                    yield pa.record_batch(
+                        [
+                            pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), file.doc_ids,
+                            pa.array(before), pa.array(file.n_tokens), pa.array(sums, pa.int64()),
+                        ],
+                        names=["file", "nth", "doc_id", "before", "n_tokens", "ids_crc32"],
+                    )
+
+    files = manifest.select("file")
+    return files.repartition(max(1, files.count())).mapInArrow(run, DOCUMENTS)
 
 
 def positions(documents: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -170,4 +180,4 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, **layout: int)
     manifest = write(docs, folder, vocabulary, end_id, **layout)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    return positions(read(spark, folder), manifest)
+    return positions(read(manifest, folder), manifest)

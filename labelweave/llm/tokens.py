@@ -1,20 +1,28 @@
-"""Whole-text encoding with the tokenizers library, each distinct piece of text once.
+"""Whole-text encoding with the tokenizers library, each distinct piece of a batch once.
 
-Prose repeats its words, so a text is cut at blanks where the byte-level
-pre-tokenizer always starts a new token, and only pieces not seen before by
-this worker are encoded. The ids equal those of encoding the text as a whole.
+Prose repeats its words, so a batch of texts is cut at blanks where the
+byte-level pre-tokenizer always starts a new token, and each distinct piece is
+encoded once. Cutting, telling pieces apart and putting the ids of texts
+together are done in Arrow and numpy. The ids equal those of encoding each
+text as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from labelweave.llm.worker import shared
 
 BLANK_RUN = re.compile(r" (?:\s|\Z)")
+# The same for Arrow, and a little wider: other separators count too.
+BLANK_RUN_RE2 = r" (?:[\x09-\x0D\x1C-\x20\x{85}\pZ]|\z)"
+BYTES_TOGETHER = 12_000_000
 
 
 def cut(text: str) -> list[str]:
@@ -31,14 +39,22 @@ def cut(text: str) -> list[str]:
     return pieces
 
 
-class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes.
+def texts_together(batches: Iterator[pa.RecordBatch], most: int = BYTES_TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that their ``text`` has at most ``most`` bytes, or is one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
 
-    At most ``keep`` encoded pieces stay in memory; beyond that the store
-    starts anew, which changes speed and never ids.
-    """
+class Encoder:
+    """Texts to ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, keep: int = 600_000, together: int = 500):
+    def __init__(self, path: str, together: int = 500):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,8 +67,7 @@ class Encoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
         )
-        self.keep, self.together = keep, together
-        self.known: dict[str, bytes] = {}
+        self.together = together
         # In a byte-level vocabulary a token has one character for each byte.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
@@ -63,34 +78,65 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if p[:1] != " " or p[1:2].isspace() or len(p) < 2]
-        self.known.update(zip(alone, (ids.tobytes() for ids in self._encode(alone))))
-        rest = [p for p in pieces if p not in self.known]
-        groups = [rest[i : i + self.together] for i in range(0, len(rest), self.together)]
-        for group, ids in zip(groups, self._encode(["".join(g) for g in groups])):
-            ends = np.cumsum([len(p.encode()) for p in group])
+    def _words(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of all ``words``, each with a blank before it, in runs; and how many each word has.
+
+        Words start with something visible. They are encoded many at a time
+        and told apart by their bytes; where that fails, one by one.
+        """
+        starts = np.append(np.arange(0, len(words), self.together), len(words)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), words.cast(pa.string())), " ")
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        runs: list[np.ndarray] = []
+        lengths = np.zeros(len(words), dtype=np.int64)
+        for first, last, ids in zip(starts, starts[1:], self._encode([" " + text for text in joined.to_pylist()])):
+            own = ends[first:last] - (ends[first - 1] if first else 0)
             reached = np.cumsum(self.width[ids])
-            stops = np.searchsorted(reached, ends) + 1
-            if len(ids) == 0 or not np.array_equal(reached[np.minimum(stops, len(ids)) - 1], ends):
-                self.known.update(zip(group, (x.tobytes() for x in self._encode(group))))
-                continue
-            raw, start = ids.tobytes(), 0
-            for piece, stop in zip(group, (stops * 4).tolist()):
-                self.known[piece] = raw[start:stop]
-                start = stop
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            stops = np.searchsorted(reached, own) + 1
+            if not len(ids) or not np.array_equal(reached[np.minimum(stops, len(ids)) - 1], own):
+                alone = self._encode([" " + w for w in words[first:last].to_pylist()])
+                ids, stops = np.concatenate(alone), np.cumsum([len(x) for x in alone])
+            runs.append(ids)
+            lengths[first:last] = np.diff(stops, prepend=0)
+        return runs, lengths
+
+    def _by_piece(self, texts: pa.Array) -> list[bytes]:
+        uneven = pc.match_substring_regex(texts, BLANK_RUN_RE2).to_numpy(zero_copy_only=False)
+        even = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
+        odd = [cut(t) for t in texts.filter(pa.array(uneven)).to_pylist()]
+        odd_words = pa.array([p[1:] if n else p for row in odd for n, p in enumerate(row)], texts.type)
+        words = pa.concat_arrays([even.flatten(), odd_words])
+        counts = np.concatenate([np.diff(even.offsets.to_numpy()), [len(row) for row in odd]]).astype(np.int64)
+        ends = np.cumsum(counts)
+        is_head = np.zeros(len(words), dtype=bool)
+        is_head[ends - counts] = True
+        heads = self._encode(words.filter(pa.array(is_head)).to_pylist())
+        coded = words.filter(pa.array(~is_head)).dictionary_encode()
+        runs, lengths = self._words(coded.dictionary)
+        ids = np.concatenate([*runs, *heads, np.empty(0, dtype="<u4")])
+        lengths = np.concatenate([lengths, [len(x) for x in heads]]).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        piece = np.empty(len(words), dtype=np.int64)
+        piece[~is_head] = coded.indices.to_numpy()
+        piece[is_head] = len(coded.dictionary) + np.arange(len(heads))
+        out: list[bytes] = [b""] * len(texts)
+        for row, start, end in zip(np.concatenate([np.flatnonzero(~uneven), np.flatnonzero(uneven)]).tolist(), (ends - counts).tolist(), ends.tolist()):
+            own = piece[start:end]
+            size = lengths[own]
+            stop = np.cumsum(size)
+            at = np.repeat(starts[own] - stop + size, size)
+            at += np.arange(len(at))
+            out[row] = ids[at].tobytes()
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; null is an empty text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
         if not self.by_piece:
-            return [ids.tobytes() for ids in self._encode(texts)]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        cuts = [cut(t) for t in texts]
-        fresh = set().union(*cuts).difference(self.known) if cuts else ()
-        if fresh:
-            self._learn(list(fresh))
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cuts]
+            return [ids.tobytes() for ids in self._encode(texts.to_pylist())]
+        return self._by_piece(texts) if len(texts) else []
 
 
 def encoder(path: str) -> Encoder:

@@ -133,11 +133,62 @@ def test_sequences_are_read_without_copying(spark, docs, tmp_path, whole, texts)
             before = pa.total_allocated_bytes()
             for i in (0, entry_row["n_ids"] // 128 - 1):
                 ids, start = file.ids(i), at + i * 128
-                assert ids.tolist() == everything[start : start + 128] and file.mask(i).all()
+                assert ids.tolist() == everything[start : start + 128] and file.mask(i).false_count == 0
             last = entry_row["n_ids"] // 128
             if entry_row["n_ids"] % 128:
-                assert int(file.mask(last).sum()) == entry_row["n_ids"] % 128
+                assert file.mask(last).true_count == entry_row["n_ids"] % 128
             assert pa.total_allocated_bytes() - before < 4096
             assert ids.dtype == np.uint16
+            # A span may cross sequences and batches of seven.
+            for start, stop in ((0, 1), (100, 300), (890, 900), (5, entry_row["n_ids"])):
+                assert file.span(start, min(stop, entry_row["n_ids"])).tolist() == everything[at + start : at + min(stop, entry_row["n_ids"])]
         at += entry_row["n_ids"]
     assert at == len(everything)
+
+
+def test_every_doc_id_is_kept(spark, whole):
+    ids = [-(2**63), -1, 0, 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokenfile.round_trip(docs, BYTE_BPE).collect()}
+    assert got == {i: len(whole(f"text {i}")) + 1 for i in ids}
+
+
+def test_only_the_batches_asked_for_are_read(spark, docs, tmp_path):
+    manifest = tokenfile.write(docs, str(tmp_path), BYTE_BPE, length=64, rows_per_batch=4).orderBy("n_ids").collect()
+
+    class Handle:
+        def __init__(self, path):
+            self.file, self.bytes, self.closed = open(path, "rb"), 0, False
+
+        def read(self, n=-1):
+            out = self.file.read(n)
+            self.bytes += len(out)
+            return out
+
+        def seek(self, *at):
+            return self.file.seek(*at)
+
+        def tell(self):
+            return self.file.tell()
+
+        def flush(self):
+            pass
+
+        def close(self):
+            self.file.close()
+
+    path = tmp_path / manifest[-1]["file"]
+    handle = Handle(path)
+    file = tokenfile.Sequences(pa.PythonFile(handle, mode="r"))
+    before = handle.bytes
+    file.ids(manifest[-1]["n_ids"] // 64 - 1)
+    assert handle.bytes - before < 20_000 < path.stat().st_size
+
+
+def test_texts_come_together_up_to_a_size():
+    texts = ["a" * n for n in (3, 4, 50, 1, 1, 1)] + [None, "", "b" * 9]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    parts = [b.column("text").to_pylist() for b in tokens.texts_together([batch], 8)]
+    assert sum(parts, []) == texts and [len(p) for p in parts] == [2, 1, 5, 1]
+    odd = ["a  b", "", "x y", " ", "a \n b c", "tail ", None, "z\x85 w", "plain words here", " lead"]
+    assert ENCODER.encode(pa.array(odd)) == [ENCODER.encode([t or ""])[0] for t in odd]

@@ -71,42 +71,59 @@ class Models:
         return score >= self.least_total and score >= self.least_mean * len(token)
 
 
-def labelled(text: str) -> Iterator[tuple[int, str]]:
-    """(1, value) for what the rules found in a text, (0, token) for tokens beside it."""
+def _beside(matches: Iterator[re.Match], spans: list[tuple]) -> Iterator[re.Match]:
+    """Those of ``matches``, which follow each other, that overlap none of ``spans`` (kind, start, end)."""
+    ordered = sorted((start, end) for _, start, end in spans)
+    at, reach = 0, 0
+    for m in matches:
+        while at < len(ordered) and ordered[at][0] < m.end():
+            reach = max(reach, ordered[at][1])
+            at += 1
+        if reach <= m.start():
+            yield m
+
+
+def labelled(text: str, ordinary: bool = True) -> Iterator[tuple[int, str]]:
+    """(1, value) for what the rules found in a text, (0, token) for tokens beside it unless ``ordinary`` is false."""
     spans = base_spans(text)
     for _, start, end in spans:
         last = ORDINARY.findall(text[start:end])
         if last:
             yield 1, last[-1]
-    for m in ORDINARY.finditer(text):
-        if not any(start < m.end() and m.start() < end for _, start, end in spans):
+    if ordinary:
+        for m in _beside(ORDINARY.finditer(text), spans):
             yield 0, m[0]
 
 
-def train(docs: DataFrame, sample_rows: int = 4000, smoothing: float = 0.5, least_total: float = 16.0, least_mean: float = 0.75) -> Models:
-    """Models from the labelled tokens of about ``sample_rows`` documents, chosen by a hash.
+def train(
+    docs: DataFrame, sample_rows: int = 4000, smoothing: float = 8.0, least_total: float = 16.0, least_mean: float = 0.75, least_tokens: int = 100
+) -> Models:
+    """Models of labelled tokens: every value that the rules find in ``docs``, and the tokens beside them in about ``sample_rows`` documents chosen by a hash.
 
     Transitions are counted on the executors; the driver gets two tables of
-    the alphabet's size squared. Without samples both models are uniform and
-    nothing scores above zero.
+    the alphabet's size squared. With fewer than ``least_tokens`` of either
+    kind there is nothing to tell them apart by, and no token is called
+    random.
     """
     n = docs.count()
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = docs.where(F.col("text").isNotNull() & (spread < min(1.0, sample_rows / max(n, 1)))).select("text")
+    read = docs.where(F.col("text").isNotNull()).select("text", (spread < min(1.0, sample_rows / max(n, 1))).alias("sampled"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, START + 1, START), dtype=np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for label, token in labelled(text):
+        for batch in slices(batches, 1024):
+            for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist()):
+                for label, token in labelled(text, sampled):
                     np.add.at(table[label], transitions(token), 1)
         label, before, after = np.nonzero(table)
         yield pa.record_batch([pa.array(x) for x in (label, before, after, table[label, before, after])], names=["label", "a", "b", "n"])
 
-    counted = sample.mapInArrow(count, "label bigint, a bigint, b bigint, n bigint").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
+    counted = read.mapInArrow(count, "label bigint, a bigint, b bigint, n bigint").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
     table = np.zeros((2, START + 1, START))
     for r in counted.collect():
         table[r["label"], r["a"], r["b"]] = r["n"]
+    if table[:, START].sum(axis=1).min() < least_tokens:
+        return Models(np.zeros((START + 1, START)), least_total, least_mean)
     # Rare states lean on how often a character occurs at all, and that on the alphabet.
     overall = table.sum(axis=1, keepdims=True) + smoothing
     overall /= overall.sum(axis=2, keepdims=True)
@@ -123,9 +140,9 @@ def spans_of(text: str, models: Models) -> list[tuple[str, int, int, float]]:
     """
     base = base_spans(text)
     found = [(kind, start, end, 0.0) for kind, start, end in base]
-    for m in TOKEN.finditer(text):
+    for m in _beside(TOKEN.finditer(text), base):
         score = models.score(m[0])
-        if models.is_random(m[0], score) and not any(s < m.end() and m.start() < e for _, s, e in base):
+        if models.is_random(m[0], score):
             found.append(("random", m.start(), m.end(), score))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -27,7 +27,7 @@ from labelweave.llm.tokens import encoder, texts_together
 from labelweave.plans.durable import run_dir, stored
 
 MANIFEST = "file string, n_docs bigint, n_ids bigint"
-DOCUMENTS = "file string, nth bigint, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
+DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def _batches(ids: np.ndarray, length: int, rows: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -135,42 +135,30 @@ class Sequences:
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every document in the files of ``folder`` that ``manifest`` names, with a checksum over its ids."""
+    """Every document in the files of ``folder`` that ``manifest`` (file, n_ids) names, with a checksum over its ids.
+
+    ``start`` is the number of ids in all documents before it. Its running sum
+    is over the manifest, one row per file of millions of ids, and travels
+    with the file names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         if isinstance(store, fs.LocalFileSystem):
             store = fs.LocalFileSystem(use_mmap=True)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 with store.open_input_file(f"{root}/{name}") as source:
                     file = Sequences(source)
                     ends = np.cumsum(file.n_tokens)
                     before = ends - file.n_tokens
                     sums = [zlib.crc32(file.span(a, b).astype("<u4").tobytes()) for a, b in zip(before.tolist(), ends.tolist())]
-                    n = len(ends)
-                    yield pa.record_batch(
-                        [
-                            pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), file.doc_ids,
-                            pa.array(before), pa.array(file.n_tokens), pa.array(sums, pa.int64()),
-                        ],
-                        names=["file", "nth", "doc_id", "before", "n_tokens", "ids_crc32"],
-                    )
-
-    files = manifest.select("file")
-    return files.repartition(max(1, files.count())).mapInArrow(run, DOCUMENTS)
+                    columns = [file.doc_ids, pa.array(base + before), pa.array(file.n_tokens), pa.array(sums, pa.int64())]
+                    yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-
-def positions(documents: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Documents read back, with the number of ids in all documents before them.
-
-    The running sum is over the manifest, one row per file of millions of ids.
-    """
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("file", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("base"))
-    return documents.join(offsets, "file").select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    files = manifest.select("file", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("base"))
+    return files.repartition(max(1, manifest.count())).mapInArrow(run, DOCUMENTS)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, **layout: int) -> DataFrame:
@@ -180,4 +168,4 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, **layout: int)
     manifest = write(docs, folder, vocabulary, end_id, **layout)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    return positions(read(manifest, folder), manifest)
+    return read(manifest, folder)

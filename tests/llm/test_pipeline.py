@@ -6,7 +6,8 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from labelweave.llm import grading, language, secrets
-from test_simhash import grouped, plain_fingerprint
+from plain import roots
+from test_nearcopies import alike, plain_shingles
 from test_tokens import packed_rightly
 
 
@@ -26,7 +27,8 @@ def test_stages_and_run(spark, small):
             judged = grading.grade(docs, grading.fit(docs, rated)).collect()
             assert set(after) == {r["doc_id"] for r in judged if r["tail_probability"] >= 0.5}
         elif number == 2:
-            groups = grouped({i: plain_fingerprint(r["text"]) for i, r in before.items()})
+            sets = {i: plain_shingles(r["text"]) for i, r in before.items()}
+            groups = roots(sorted(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
             assert set(after) == set(groups.values())
         else:
             models = secrets.train(docs)

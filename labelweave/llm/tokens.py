@@ -22,7 +22,7 @@ from labelweave.llm.worker import shared
 BLANK_RUN = re.compile(r" (?:\s|\Z)")
 # The same for Arrow, and a little wider: other separators count too.
 BLANK_RUN_RE2 = r" (?:[\x09-\x0D\x1C-\x20\x{85}\pZ]|\z)"
-BYTES_TOGETHER = 8_000_000
+BYTES_TOGETHER = 2_000_000
 
 
 def cut(text: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Hashable, Iterator
@@ -10,8 +11,8 @@ from typing import Any
 import pyarrow as pa
 
 
-def shared(operator: str, key: Hashable, make: Callable[[], Any]) -> Any:
-    """The object that ``operator`` keeps under ``key`` in this process, made on first use.
+def begin(operator: str) -> types.ModuleType:
+    """What this process keeps for ``operator``; objects of another one and memory they leave unused are given back.
 
     Package code travels by value with each task, so module globals start
     anew there; a module registered in the interpreter lasts. Workers live
@@ -20,6 +21,14 @@ def shared(operator: str, key: Hashable, make: Callable[[], Any]) -> Any:
     worker = sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker"))
     if getattr(worker, "operator", None) != operator:
         worker.operator, worker.kept = operator, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return worker
+
+
+def shared(operator: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """The object that ``operator`` keeps under ``key`` in this process, made on first use."""
+    worker = begin(operator)
     if key not in worker.kept:
         worker.kept[key] = make()
     return worker.kept[key]

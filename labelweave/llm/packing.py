@@ -70,7 +70,7 @@ def best_fit_decreasing(sizes: list[int], window: int) -> list[tuple[int, int]]:
     return placed
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, together: int = 16_384) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, together: int = 4096) -> DataFrame:
     """Tokenize ``docs`` (doc_id, text) and pack every id into windows.
 
     A document is its ids and ``end_id``. A document longer than ``window``

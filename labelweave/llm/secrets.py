@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.worker import slices
+from labelweave.llm.worker import begin, slices
 
 # The base rules. A match that fails its least length is dropped
 # after matching, so it still uses up its characters.
@@ -110,6 +110,7 @@ def train(
     read = docs.where(F.col("text").isNotNull()).select("text", (spread < min(1.0, sample_rows / max(n, 1))).alias("sampled"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("secrets")
         table = np.zeros((2, START + 1, START), dtype=np.int64)
         for batch in slices(batches, 1024):
             for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist()):
@@ -180,6 +181,7 @@ def redact(docs: DataFrame, models: Models) -> DataFrame:
     """``docs`` with secrets cut out of ``text``; null texts and other columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("secrets")
         for batch in slices(batches, 1024):
             at = batch.schema.get_field_index("text")
             texts = [None if t is None else redacted(t, models) for t in batch.column(at).to_pylist()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -23,6 +24,8 @@ def begin(operator: str) -> types.ModuleType:
         worker.operator, worker.kept = operator, {}
         gc.collect()
         pa.default_memory_pool().release_unused()
+        # Freed memory that the C library keeps; others than glibc have no such call.
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
     return worker
 
 

@@ -128,6 +128,56 @@ def s01m(spark, sf):
     )
 
 
+def mixed_labels(spark, sf):
+    """Lines whose labels are, by turns, a list, a list that repeats its first label, one scalar, a number, null and missing.
+
+    Sections are a list of objects, strings and text-only objects within one
+    line, or one string; every thirteenth line is cut off.
+    """
+    docs = fixtures.table(spark, sf, "documents").join(fixtures.labelled(spark, sf), "doc_id")
+    lines = F.split("text", "\n")
+    first = F.array_min("labels")
+    kinds = (
+        F.to_json(F.struct("labels")), F.to_json(F.struct(F.concat(F.array(first), F.col("labels")).alias("labels"))),
+        F.to_json(F.struct(first.alias("labels"))), F.to_json(F.struct(F.col("doc_id").alias("labels"))), F.lit('{"labels":null}'), F.lit("{}"),
+    )
+    own = F.when(F.lit(False), "")
+    for n, kind in enumerate(kinds):
+        own = own.when(F.col("doc_id") % 6 == n, kind)
+    own = F.when(F.size("labels") == 0, F.lit("{}")).otherwise(own)
+    element = lambda l, i: F.when(i % 3 == 0, F.to_json(F.struct(F.array(l).alias("paragraphs")))).when(
+        i % 3 == 1, F.to_json(F.struct(l.alias("text")))).otherwise(F.substring(F.to_json(F.array(l)), F.lit(2), F.length(F.to_json(F.array(l))) - 2))
+    whole = F.to_json(F.struct(F.array_join(lines, " ").alias("Sections")))
+    listed = F.concat(F.lit('{"Sections":['), F.array_join(F.transform(lines, element), ","), F.lit("]}"))
+    sections = F.when(F.col("doc_id") % 4 == 0, whole).otherwise(listed)
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    line = F.concat(F.lit('{"DOC_ID":'), F.col("doc_id"), F.lit(","), inner(sections), F.when(own != "{}", F.concat(F.lit(","), inner(own))).otherwise(""), F.lit("}"))
+    path = run_dir(spark, "mixed-labels")
+    docs.select(F.when(F.col("doc_id") % 13 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "s01_mixed_labels",
+    """
+SELECT doc_id::VARCHAR AS doc_id,
+  CASE WHEN len(labs) = 0 OR doc_id % 6 > 3 THEN '' WHEN doc_id % 6 < 2 THEN array_to_string(list_sort(labs), '|')
+    WHEN doc_id % 6 = 2 THEN list_min(labs) ELSE doc_id::VARCHAR END AS labels,
+  (len(labs) > 0 AND doc_id % 6 = 1)::BIGINT AS n_repeated,
+  (CASE WHEN doc_id % 4 = 0 THEN 1 ELSE len(string_split(body0, chr(10))) END)::BIGINT AS n_sections,
+  md5(replace(body0, chr(10), ' ')) AS text_md5
+FROM mixed JOIN corpus USING (doc_id) WHERE doc_id % 13 <> 0
+""",
+)
+def s01ml(spark, sf):
+    """Every line by its own shape, in one pass over the file."""
+    docs, _ = src.without_rejects(src.load_documents(spark, mixed_labels(spark, sf)))
+    return docs.select(
+        "doc_id", F.array_join(F.sort_array("labels"), "|").alias("labels"), F.col("n_repeated_labels").alias("n_repeated"),
+        nested.section_count(docs).alias("n_sections"), F.md5(nested.extract_text(docs)).alias("text_md5"),
+    )
+
+
 @query("s01_rejects", "SELECT count(*) AS n_rejects FROM documents WHERE doc_id % 11 = 0")
 def s01r(spark, sf):
     _, rejects = src.without_rejects(src.load_corpus(spark, mixed_corpus(spark, sf)))

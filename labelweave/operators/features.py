@@ -1,8 +1,10 @@
 """TF-IDF features.
 
-Fitting writes each document's n-grams out once, sorted, so one partially
-aggregated count by term gives both the corpus count and the document
-frequency. Only the terms move, never a (document, term) pair. Vectorizing
+Fitting finds the terms that can belong to the vocabulary by mergeable
+summaries and counts those exactly, so a few terms per task move. Where that
+certifies nothing, each document's n-grams are written out once, sorted, and
+one partially aggregated count by term gives both the corpus count and the
+document frequency; a (document, term) pair never moves. Vectorizing
 needs no shuffle at all: the vocabulary, cut to ``max_features``, is small by
 construction and every document becomes a vector inside its own row.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.text import ngrams, terms
 from labelweave.functions.vectors import exploded
+from labelweave.operators.heavyterms import certified
 from labelweave.plans.durable import stored
 
 # The limits of the feature space.
@@ -81,15 +84,20 @@ def vocabulary(
     return rows.select(F.posexplode("rows").alias("term_id", "r")).select("term_id", "r.*")
 
 
-def fit_vocabulary(train: DataFrame, **limits) -> DataFrame:
+def fit_vocabulary(
+    train: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
+) -> DataFrame:
     """The vocabulary of the train documents, computed once and stored.
 
-    It is read several times afterwards and has at most ``max_features``
-    rows, so what is stored is small. Counting the documents reads none of
-    their text.
+    Only terms that can belong to it are counted and moved (``certified``);
+    where the terms are too even for that, all are. It is read several times
+    afterwards and has at most ``max_features`` rows, so what is stored is
+    small. Counting the documents reads none of their text.
     """
+    limits = {"min_df": min_df, "max_df": max_df, "max_features": max_features}
     n_docs = train.agg(F.count(F.lit(1))).scalar()
-    return stored(vocabulary(term_statistics(train), n_docs, **limits), "vocabulary")
+    found = certified(train, "terms", max_features, min_df, lambda counted: vocabulary(counted, n_docs, **limits))
+    return stored(vocabulary(term_statistics(train), n_docs, **limits), "vocabulary") if found is None else found
 
 
 def vectorize(termed: DataFrame, vocab: DataFrame) -> DataFrame:

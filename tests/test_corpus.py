@@ -174,3 +174,26 @@ def test_written_folders_are_fresh_and_go_at_the_end(spark, tmp_path, monkeypatc
     assert len(list((tmp_path / "labelweave").iterdir())) == 1 and kept.count() == 3
     durable.remove_runs(spark)
     assert list((tmp_path / "labelweave").iterdir()) == []
+
+
+def test_labels_and_sections_of_any_shape_in_one_file(spark, tmp_path):
+    lines = [
+        '{"documentId":"a","postures":["x","y",null,"x"],"sections":[{"headtext":"h","paragraphs":["one","two"]},"three",{"text":"four"},null]}',
+        '{"documentId":"b","postures":"[z]","sections":"five"}', '{"documentId":"c","postures":null,"sections":[]}',
+        '{"documentId":"d","sections":null}', '{"documentId":"e","postures":7,"sections":[{"paragraphs":"six"}]}', '["no object"]', "",
+        '{"documentId":"f","postures":["cut"', '{"documentId":8,"postures":[],"sections":[{"other":1}]}',
+    ]
+    (tmp_path / "part.jsonl").write_text("\n".join(lines))
+    want = {
+        "a": (["x", "y"], 1, "one two three four"), "b": (["[z]"], 0, "five"), "c": ([], 0, ""), "d": ([], 0, ""), "e": (["7"], 0, "six"),
+        "8": ([], 0, '{"other":1}'),
+    }
+    read, rejects = src.without_rejects(src.load_documents(spark, str(tmp_path)))
+    got = read.select("doc_id", "labels", "n_repeated_labels", nested.extract_text(read)).collect()
+    assert {r[0]: (r[1], r[2], r[3]) for r in got} == want
+    assert sorted(r[0] for r in rejects.collect()) == sorted([lines[5], "", lines[7]])
+    inferred, _ = src.without_rejects(src.load_corpus(spark, str(tmp_path)))
+    assert dict(inferred.dtypes)["postures"] == "variant"
+    docs = src.standardize(inferred.where("documentId is not null"))
+    got = docs.select("doc_id", "labels", "n_repeated_labels").collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {i: w[:2] for i, w in want.items()}

@@ -72,13 +72,16 @@ def prepare_texts(
 
     Given ``labelled`` (doc_id, labels), labels of fewer than ``min_count``
     documents go, then documents left without a label; all that comes before
-    the split. The text is worked out, measured and hashed in a single pass,
-    and meets its labels in it; reading one split or counting documents then
-    touches only what it needs. Documents below ``min_words`` stay in the
-    files but not in the result.
+    the split. Which documents stay is written first, as ids and labels, so
+    that Spark knows its size and broadcasts it where it is small; the texts
+    then stay in the tasks that read them. The text is worked out, measured
+    and hashed in a single pass, and meets its labels in it; reading one split
+    or counting documents then touches only what it needs. Documents below
+    ``min_words`` stay in the files but not in the result.
     """
     if labelled is not None:
-        texts = texts.join(keep_viable(labelled, label_counts(labelled), min_count), "doc_id")
+        kept = keep_viable(labelled.select("doc_id", "labels"), label_counts(labelled), min_count)
+        texts = texts.join(stored(kept, "kept-documents"), "doc_id")
     measured = split(texts, test, val, seed).withColumn("n_words", F.coalesce(word_count(F.col("text")), F.lit(0)))
     return stored(measured, "texts", ["split"]).where(F.col("n_words") >= min_words)
 

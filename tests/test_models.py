@@ -255,6 +255,31 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
     assert np.allclose(listed(), whole)
 
 
+def test_fit_does_not_depend_on_blocks_parts_or_empty_tasks(spark, monkeypatch):
+    docs = ft.with_terms(toy_training(spark), (), (1, 1))
+    vectors = ft.vectorize(docs, ft.fit_vocabulary(docs))
+    fitted = lambda frame: {r.label: [r.intercept, *r.weights] for r in bl.fit_baseline(frame, label_frame(spark, ["A", "B", "never"]), tol=1e-7).collect()}
+    whole = fitted(vectors.coalesce(1))
+    monkeypatch.setattr(bl, "MAX_BLOCK", 1)
+    monkeypatch.setattr(bl, "FAN", 2)
+    spread = fitted(vectors.repartition(7))
+    assert whole.keys() == spread.keys() == {"A", "B", "never"}
+    for label in ("A", "B"):
+        assert np.allclose(whole[label], spread[label], atol=1e-4)
+    assert spread["never"][0] == float("-inf")
+
+
+def test_a_step_that_does_not_lower_the_loss_is_halved():
+    row = {
+        "label": "a", "point": np.zeros(2).tobytes(), "trial": np.array([4.0, 0.0]).tobytes(), "gradient": np.array([-1.0, 0.0]).tobytes(),
+        "past": b"", "scale": np.ones(2).tobytes(), "loss": 1.0, "step": 1.0, "slope": -4.0, "steps": 1, "halvings": 0, "done": False,
+    }
+    after = bl._advanced(row, np.array([1.0, 0.0, 50.0]), 1.0, 10, 1e-6)
+    assert np.frombuffer(after["trial"]).tolist() == [2.0, 0.0] and (after["step"], after["halvings"], after["done"]) == (0.5, 1, False)
+    last = bl._advanced(row | {"halvings": bl.HALVINGS - 1}, np.array([1.0, 0.0, 50.0]), 1.0, 10, 1e-6)
+    assert last["done"] and last["point"] == row["point"]
+
+
 def test_penalised_gradient_is_zero_at_the_fit_only(spark):
     docs = ft.with_terms(toy_training(spark), (), (1, 1))
     vectors = ft.vectorize(docs, ft.fit_vocabulary(docs))

@@ -35,6 +35,33 @@ def x01(spark, sf):
     return docs.select("doc_id", F.explode("labels").alias("label"))
 
 
+block(
+    "part_tree",
+    """
+SELECT p_partkey AS child, CASE WHEN p_partkey = 1 THEN (SELECT max(p_partkey) FROM part) ELSE p_partkey // 2 END AS parent FROM part
+""",
+)
+
+
+@query(
+    "x01_closure",
+    """
+SELECT child, count(*) AS n_implied, sum(parent)::BIGINT AS implied_sum FROM (
+  WITH RECURSIVE implied AS (
+    SELECT child, parent FROM part_tree
+    UNION SELECT i.child, t.parent FROM implied i JOIN part_tree t ON t.child = i.parent)
+  SELECT DISTINCT child, parent FROM implied WHERE child <> parent) GROUP BY child
+""",
+)
+def x01c(spark, sf):
+    """The closure of a binary tree over all parts whose root points back to its last part."""
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
+    last = part.agg(F.max("p_partkey")).scalar()
+    parent = F.when(F.col("p_partkey") == 1, last).otherwise(F.expr("p_partkey div 2"))
+    implied = op.closure(part.select(F.col("p_partkey").alias("child"), parent.cast("bigint").alias("parent")))
+    return implied.groupBy("child").agg(F.count(F.lit(1)).alias("n_implied"), F.sum("parent").alias("implied_sum"))
+
+
 block("pred_half", "SELECT doc_id, coalesce(list(label ORDER BY label) FILTER (p1 >= 500), []) AS pl FROM cell_p GROUP BY doc_id")
 block(
     "ruled",

@@ -1,46 +1,68 @@
 """Label hierarchies and consistency rules applied to predictions.
 
-The rules are hand-written lists. They are worked out on the driver and
-become constants in the plan, so applying them moves no rows.
+A hierarchy is a table of relations of any length. Consistency rules are
+hand-written lists that become constants in the plan, so applying them moves
+no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.plans.durable import discard, stored
 
-def ancestors(relations: Sequence[tuple[str, str]]) -> dict[str, list[str]]:
-    """All labels implied by each label, over any number of levels."""
-    parents: dict[str, set[str]] = {}
-    for child, parent in relations:
-        parents.setdefault(child, set()).add(parent)
-    closed: dict[str, list[str]] = {}
-    for child in parents:
-        found, open_ = set(), list(parents[child])
-        while open_:
-            label = open_.pop()
-            if label not in found and label != child:
-                found.add(label)
-                open_.extend(parents.get(label, ()))
-        closed[child] = sorted(found)
-    return closed
-
-
-def expanded(labels: Column, relations: Sequence[tuple[str, str]]) -> Column:
-    """Labels with everything they imply."""
-    implied = [
-        F.when(F.array_contains(labels, child), F.array(*[F.lit(p) for p in found]))
-        .otherwise(F.array().cast("array<string>"))
-        for child, found in ancestors(relations).items()
-    ]
-    return F.array_distinct(F.concat(labels, *implied))
-
-
-def expand_labels(docs: DataFrame, relations: Sequence[tuple[str, str]], col: str = "labels") -> DataFrame:
-    return docs.withColumn(col, expanded(F.col(col), relations))
+
+def relation_frame(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([tuple(p) for p in pairs], "child string, parent string")
+
+
+def closure(relations: DataFrame) -> DataFrame:
+    """(child, parent): every label that another implies, over any number of levels.
+
+    Each round joins what the last one found with all that is known, on both
+    sides, so paths double and a chain of n levels takes about log2(n)
+    rounds. Only new pairs go on, which ends cycles; no label implies itself.
+    Rounds are written, and the superseded ones removed.
+    """
+    proper = lambda pairs: pairs.where("child != parent").distinct()
+    known = stored(proper(relations.select("child", "parent")), "implied")
+    new = known
+    while True:
+        lower, upper = F.col("a.parent") == F.col("b.child"), ["a.child", "b.parent"]
+        met = new.alias("a").join(known.alias("b"), lower).select(*upper).unionByName(
+            known.alias("a").join(new.alias("b"), lower).select(*upper)
+        )
+        found = stored(proper(met).join(known, ["child", "parent"], "left_anti"), "implied-new")
+        if found.isEmpty():
+            discard(found)
+            return known
+        grown = stored(known.unionByName(found), "implied")
+        discard(known)
+        if new is not known:
+            discard(new)
+        known, new = grown, found
+
+
+def expand_labels(docs: DataFrame, relations: DataFrame | Sequence[tuple[str, str]], col: str = "labels") -> DataFrame:
+    """Labels with everything they imply.
+
+    ``relations`` (child, parent) is a table or a short list of pairs. The
+    closure meets each distinct label list once; a list without implied
+    labels, and a null one, stays as it is.
+    """
+    if not isinstance(relations, DataFrame):
+        relations = relation_frame(docs.sparkSession, relations)
+    own, implied = "_labelweave_own", "_labelweave_implied"
+    lists = docs.select(F.col(col).alias(own)).distinct()
+    grown = (
+        lists.select(own, F.explode(own).alias("child")).join(closure(relations), "child")
+        .groupBy(own).agg(F.sort_array(F.collect_set("parent")).alias(implied))
+    )
+    labels = F.when(F.col(implied).isNull(), F.col(col)).otherwise(F.array_distinct(F.concat(F.col(col), F.col(implied))))
+    return docs.join(grown, docs[col] == grown[own], "left").withColumn(col, labels).drop(own, implied)
 
 
 def violations(

@@ -7,7 +7,7 @@ a sweep costs one pass whatever the length of the grid.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,35 +28,43 @@ def interval(p: Column, grid: Sequence[float]) -> Column:
     return reduce(lambda a, b: a + b, [(p >= g).cast("int") for g in grid])
 
 
-def sweep_counts(
-    scored: DataFrame, p: str, grid: Sequence[float], by: Sequence[str] = (), cells: str = "cells"
-) -> DataFrame:
-    """(by, label, threshold, tp, n_pred, support) for every grid threshold.
+def _placed(scored: DataFrame, place: Callable[[Column], Column], nowhere: Column, by: Sequence[str], cells: str) -> DataFrame:
+    """(by, label, k, n, pos): cells and true ones among them by the place ``k`` of their probabilities.
 
-    ``cells`` may list every class or only those with a probability worth
-    keeping; true labels without a cell still count as support.
+    True labels without a cell are at ``nowhere``.
     """
-    grid = sorted(grid)
-
     def seen(c: Column) -> Column:
-        return F.struct(
-            c["label"].alias("label"),
-            interval(c[p], grid).alias("k"),
-            F.array_contains(F.col("y_true"), c["label"]).cast("bigint").alias("y"),
-        )
+        true = F.array_contains(F.col("y_true"), c["label"]).cast("bigint")
+        return F.struct(c["label"].alias("label"), place(c).alias("k"), true.alias("y"))
 
     def missed(label: Column) -> Column:
-        return F.struct(label.alias("label"), F.lit(0).alias("k"), F.lit(1).cast("bigint").alias("y"))
+        return F.struct(label.alias("label"), nowhere.alias("k"), F.lit(1).cast("bigint").alias("y"))
 
     listed = F.transform(F.col(cells), lambda c: c["label"])
     rows = F.concat(
         F.transform(F.col(cells), seen),
         F.transform(F.array_except("y_true", listed), missed),
     )
-    placed = (
+    return (
         scored.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
         .groupBy(*by, "label", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     )
+
+
+def sweep_counts(
+    scored: DataFrame, p: str, grid: Sequence[float], by: Sequence[str] = (), cells: str = "cells"
+) -> DataFrame:
+    """(by, label, threshold, tp, n_pred, support) for every grid threshold.
+
+    ``cells`` may list every class or only those with a probability worth
+    keeping; true labels without a cell still count as support.
+    """
+    grid = sorted(grid)
+    return _reached(_placed(scored, lambda c: interval(c[p], grid), F.lit(0), by, cells), grid, by)
+
+
+def _reached(placed: DataFrame, grid: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The counts of every threshold from those of the intervals between them."""
     aggregates = [F.sum("pos").alias("support")]
     for i in range(1, len(grid) + 1):
         reached = F.col("k") >= i
@@ -210,17 +218,26 @@ def probability_histogram(scored: DataFrame, p: str, bins: int = 50, cells: str
     )
 
 
-def blended(scored: DataFrame, alphas: Sequence[float], p1: str = "p1", p2: str = "p2", cells: str = "cells") -> DataFrame:
-    """Each document once per weight, cells holding the blended ``p``."""
-    def blend(alpha: Column) -> Column:
-        return F.transform(
-            F.col(cells),
-            lambda c: F.struct(c["label"].alias("label"), (alpha * c[p1] + (1 - alpha) * c[p2]).alias("p")),
-        )
+def blend_counts(
+    scored: DataFrame, alphas: Sequence[float], grid: Sequence[float], p1: str = "p1", p2: str = "p2", cells: str = "cells",
+) -> DataFrame:
+    """(alpha, label, threshold, tp, n_pred, support) for every weight and grid threshold, from one reading.
 
-    return scored.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))).withColumn(
-        cells, blend(F.col("alpha"))
-    )
+    A cell's place is where its pair (p1, p2) lies among the lines
+    alpha * p1 + (1 - alpha) * p2 = threshold: the interval it reaches under
+    each weight. Cells are counted by place before they move, once for all
+    weights; the number of places depends on the lines, not on the documents.
+    """
+    grid = sorted(grid)
+    reached = lambda c, a: interval(F.lit(float(a)) * c[p1] + (1 - F.lit(float(a))) * c[p2], grid).cast("smallint")
+    place = lambda c: F.array(*[reached(c, a) for a in alphas])
+    nowhere = F.array(*[F.lit(0).cast("smallint") for _ in alphas])
+    places = _placed(scored, place, nowhere, (), cells)
+    named = F.arrays_zip(F.array(*[F.lit(float(a)) for a in alphas]).alias("alpha"), F.col("k").alias("k"))
+    each = places.select("label", "n", "pos", F.explode(named).alias("at")).select("at.alpha", "label", "at.k", "n", "pos")
+    # Places that differ under another weight only are one interval here.
+    folded = each.groupBy("alpha", "label", "k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    return _reached(folded, grid, ["alpha"])
 
 
 def per_class_blend(scored: DataFrame, label_table: DataFrame, alphas: Sequence[float], grid: Sequence[float] = CLASS_GRID) -> DataFrame:
@@ -230,7 +247,7 @@ def per_class_blend(scored: DataFrame, label_table: DataFrame, alphas: Sequence[
     and the default threshold.
     """
     n_docs = document_count(scored)
-    counts = sweep_counts(blended(scored, alphas), "p", grid, by=["alpha"])
+    counts = blend_counts(scored, alphas, grid)
     best = per_class_thresholds(counts, label_table, n_docs, by=["alpha"]).groupBy("label").agg(
         F.max(F.struct("f1_best", (-F.col("alpha")).alias("minus"), "threshold")).alias("b")
     )

@@ -380,7 +380,6 @@ def test_predictions_round_trip(spark, tmp_path):
 
 
 def test_rules(spark):
-    assert hi.ancestors([("c", "b"), ("b", "a"), ("a", "c")]) == {"c": ["a", "b"], "b": ["a", "c"], "a": ["b", "c"]}
     docs = spark.createDataFrame([(["c"],), (["x", "y"],), (["m", "s"],), (["m"],)], "y_pred array<string>")
     grown = hi.expand_labels(docs, [("c", "b"), ("b", "a")], "y_pred")
     assert sorted(grown.first().y_pred) == ["a", "b", "c"]
@@ -389,3 +388,39 @@ def test_rules(spark):
         ([], ["c"]), (["excludes:x|y"], ["x"]), ([], ["m", "s"]), (["requires:m"], [])
     ]
     assert hi.violation_rate(checked).first().violation_rate == 0.5
+
+
+def implied(spark, pairs):
+    return sorted(tuple(r) for r in hi.closure(hi.relation_frame(spark, pairs)).collect())
+
+
+def test_closure_ends_on_cycles_and_loops(spark):
+    assert implied(spark, [("c", "b"), ("b", "a"), ("a", "c")]) == sorted((x, y) for x in "abc" for y in "abc" if x != y)
+    assert implied(spark, [("a", "a"), ("a", "b"), ("a", "b"), (None, "a"), ("b", None)]) == [("a", "b")]
+    assert implied(spark, []) == []
+
+
+def test_closure_of_a_long_chain(spark):
+    names = [f"n{i:02}" for i in range(51)]
+    assert implied(spark, list(zip(names, names[1:]))) == [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
+
+
+def test_expansion_keeps_rows_nulls_and_other_columns(spark):
+    docs = spark.createDataFrame([(1, ["c"], "x"), (1, ["c"], "y"), (2, [], "x"), (3, None, "x"), (4, ["z", "b"], "x")], "child int, labels array<string>, parent string")
+    grown = hi.expand_labels(docs, [("c", "b"), ("b", "a")])
+    assert grown.columns == docs.columns
+    got = sorted((r.child, r.parent, r.labels) for r in grown.collect())
+    assert got == [(1, "x", ["c", "a", "b"]), (1, "y", ["c", "a", "b"]), (2, "x", []), (3, "x", None), (4, "x", ["z", "b", "a"])]
+
+
+def test_blends_counted_at_once_equal_each_weight_alone(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [l for l in LABELS if rng.random() < 0.4], [(l, *rng.random(2).round(2).tolist()) for l in LABELS[: 3 - i % 2]]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id int, y_true array<string>, cells array<struct<label:string,p1:double,p2:double>>")
+    grid, alphas = [0.25, 0.5, 0.75], [0.0, 0.3, 1.0]
+    at_once = sorted(map(tuple, th.blend_counts(docs, alphas, grid).collect()))
+    alone = []
+    for a in alphas:
+        mixed = docs.withColumn("cells", F.transform("cells", lambda c: F.struct(c["label"].alias("label"), (a * c["p1"] + (1 - F.lit(a)) * c["p2"]).alias("p"))))
+        alone += [(a, *r) for r in th.sweep_counts(mixed, "p", grid).collect()]
+    assert at_once == sorted(map(tuple, alone))

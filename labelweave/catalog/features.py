@@ -209,7 +209,7 @@ def fitted(spark, sf):
 def p13(spark, sf):
     """Metrics on test of the model fitted on train, over the classes of all prepared documents."""
     vectors, _, model = fitted(spark, sf)
-    test = bl.predict(bl.predict_proba(vectors.where(F.col("split") == "test"), model))
+    test = bl.predict(bl.predict_proba(vectors.where(F.col("split") == "test"), model, above=0.5))
     return met.evaluate(met.tally(test, y_true="labels"), label_counts(vectors).select("label"))
 
 
@@ -246,10 +246,10 @@ def fixed_model(spark, sf, vocabulary):
     )
 
 
-def fixed_scores(spark, sf):
+def fixed_scores(spark, sf, above=None):
     terms, vocabulary = prepared(spark, sf)
     model = stored(fixed_model(spark, sf, vocabulary), "model")
-    return bl.predict_proba(ft.vectorize(terms, vocabulary), model)
+    return bl.predict_proba(ft.vectorize(terms, vocabulary), model, above)
 
 
 @query("p14_predict_proba", "SELECT doc_id, label, round(1 / (1 + exp(-z)), 6) AS proba FROM margin")
@@ -259,4 +259,10 @@ def p14(spark, sf):
 
 @query("p15_predict", "SELECT doc_id, count_if(1 / (1 + exp(-z)) > 0.5)::BIGINT AS n_predicted FROM margin GROUP BY doc_id")
 def p15(spark, sf):
-    return bl.predict(fixed_scores(spark, sf)).select("doc_id", F.size("y_pred").cast("bigint").alias("n_predicted"))
+    return bl.predict(fixed_scores(spark, sf, above=0.5)).select("doc_id", F.size("y_pred").cast("bigint").alias("n_predicted"))
+
+
+@query("p14_likely_labels", "SELECT doc_id, label, round(1 / (1 + exp(-z)), 6) AS proba FROM margin WHERE 1 / (1 + exp(-z)) > 0.7")
+def p14_likely(spark, sf):
+    """Only the cells above a floor, formed without the others."""
+    return r6(bl.proba_rows(fixed_scores(spark, sf, above=0.7)), "proba")

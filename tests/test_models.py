@@ -424,3 +424,34 @@ def test_blends_counted_at_once_equal_each_weight_alone(spark):
         mixed = docs.withColumn("cells", F.transform("cells", lambda c: F.struct(c["label"].alias("label"), (a * c["p1"] + (1 - F.lit(a)) * c["p2"]).alias("p"))))
         alone += [(a, *r) for r in th.sweep_counts(mixed, "p", grid).collect()]
     assert at_once == sorted(map(tuple, alone))
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_cells_above_a_floor_are_those_of_all_cells(floor):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(0, 6, 40)
+    starts, entries = np.cumsum(lengths) - lengths, lengths.sum()
+    index, value = rng.integers(0, 30, entries), rng.normal(size=entries)
+    matrix, offset = rng.normal(size=(30, 19)) * 2, rng.normal(size=19)
+    offset[[3, 11]] = np.inf, -np.inf
+    groups = np.arange(0, 19, bl.GROUP)
+    model = {
+        "matrix": matrix, "offset": offset, "top": np.maximum.reduceat(matrix, groups, axis=1),
+        "low": np.minimum.reduceat(matrix, groups, axis=1), "top_offset": np.maximum.reduceat(offset, groups),
+    }
+    p = bl._sigmoid(bl._margins(starts, index, value, matrix) + offset)
+    row, label, got = bl._above(starts, index, value, model, floor)
+    assert list(zip(row, label)) == list(zip(*np.nonzero(p > floor)))
+    assert np.allclose(got, p[row, label])
+
+
+def test_sparse_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    docs = ft.with_terms(toy_training(spark), (), (1, 1))
+    vectors = ft.vectorize(docs, ft.fit_vocabulary(docs))
+    width = len(vectors.first().features)
+    model = bl.model_frame(spark, [(l, 0.1 * i, [0.3 * i - 0.1 * j for j in range(width)], False) for i, l in enumerate("xyz")])
+    every = {r.doc_id: [tuple(c) for c in r.cells if c.p > 0.45] for r in bl.predict_proba(vectors, model).collect()}
+    listed = lambda: {r.doc_id: [tuple(c) for c in r.cells] for r in bl.predict_proba(vectors, model, above=0.45).collect()}
+    assert listed() == every and any(every.values()) and not all(len(c) == 3 for c in every.values())
+    monkeypatch.setattr(bl, "MAX_BLOCK", 1)
+    assert listed() == every

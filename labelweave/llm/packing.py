@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.tokens import encoder, texts_together
+from labelweave.llm.worker import give_back, tidy
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 ID_BYTES = 4
@@ -90,6 +91,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
+        # Reading a vocabulary leaves more behind than it keeps.
+        give_back()
         end = end_id.to_bytes(ID_BYTES, "little")
         sequence = TaskContext.get().partitionId() << 33
         rests: list[tuple] = []
@@ -124,4 +127,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
                 yield close()
         yield close()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), PIECES)

@@ -22,13 +22,30 @@ def begin(operator: str) -> types.ModuleType:
     worker = sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker"))
     if getattr(worker, "operator", None) != operator:
         worker.operator, worker.kept = operator, {}
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        # Freed memory that the C library keeps; others than glibc have no such call.
-        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+        give_back()
     return worker
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # What the C library keeps; others than glibc have no such call.
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker holds no freed memory: it may wait idle beside those of the next stage."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def shared(operator: str, key: Hashable, make: Callable[[], Any]) -> Any:
     """The object that ``operator`` keeps under ``key`` in this process, made on first use."""
     worker = begin(operator)

@@ -15,6 +15,9 @@ from labelweave.llm.worker import give_back, tidy
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 ID_BYTES = 4
 
+# Text encoded at a time; the open rests take memory beside it.
+BYTES_TOGETHER = 1_000_000
+
 
 class OpenWindows:
     """Open windows by remaining capacity, in a segment tree over the capacities.
@@ -111,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
             rests.clear()
             return out
 
-        for batch in texts_together(batches):
+        for batch in texts_together(batches, BYTES_TOGETHER):
             full = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 ids += end

@@ -54,20 +54,21 @@ def texts_together(batches: Iterator[pa.RecordBatch], most: int = BYTES_TOGETHER
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, together: int = 500):
+    def __init__(self, path: str, together: int = 500, at_once: int = 32):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec["pre_tokenizer"] or {}
+        # Only the pre-tokenizer's settings; those of the whole tokenizer take much memory.
+        splitter = self.tokenizer.pre_tokenizer
+        pre = json.loads(splitter.__getstate__()) if splitter is not None else {}
         self.by_piece = (
-            spec["normalizer"] is None
+            self.tokenizer.normalizer is None
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
         )
-        self.together = together
+        self.together, self.at_once = together, at_once
         # In a byte-level vocabulary a token has one character for each byte.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
@@ -75,8 +76,12 @@ class Encoder:
             self.width[i] = len(token)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
+        # The library's results are many times larger than the ids, so few are held at once.
+        ids: list[np.ndarray] = []
+        for start in range(0, len(texts), self.at_once):
+            found = self.tokenizer.encode_batch_fast(texts[start : start + self.at_once], add_special_tokens=False)
+            ids += [np.array(e.ids, dtype="<u4") for e in found]
+        return ids
 
     def _words(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of all ``words``, each with a blank before it, in runs; and how many each word has.

@@ -54,7 +54,7 @@ def texts_together(batches: Iterator[pa.RecordBatch], most: int = BYTES_TOGETHER
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, together: int = 500, at_once: int = 32):
+    def __init__(self, path: str, together: int = 500, at_once: int = 1024):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,7 +76,7 @@ class Encoder:
             self.width[i] = len(token)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        # The library's results are many times larger than the ids, so few are held at once.
+        # The library's results are many times larger than the ids, so a bounded number is held at once.
         ids: list[np.ndarray] = []
         for start in range(0, len(texts), self.at_once):
             found = self.tokenizer.encode_batch_fast(texts[start : start + self.at_once], add_special_tokens=False)

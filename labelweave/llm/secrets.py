@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.worker import begin, slices
+from labelweave.llm.worker import begin, slices, tidy
 
 # The base rules. A match that fails its least length is dropped
 # after matching, so it still uses up its characters.
@@ -119,7 +119,7 @@ def train(
         label, before, after = np.nonzero(table)
         yield pa.record_batch([pa.array(x) for x in (label, before, after, table[label, before, after])], names=["label", "a", "b", "n"])
 
-    counted = read.mapInArrow(count, "label bigint, a bigint, b bigint, n bigint").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
+    counted = read.mapInArrow(tidy(count), "label bigint, a bigint, b bigint, n bigint").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
     table = np.zeros((2, START + 1, START))
     for r in counted.collect():
         table[r["label"], r["a"], r["b"]] = r["n"]
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, models: Models) -> DataFrame:
             ]
             yield pa.record_batch([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SPANS)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), SPANS)
 
 
 def redacted(text: str, models: Models, mark: str = "[SECRET]") -> str:
@@ -187,4 +187,4 @@ def redact(docs: DataFrame, models: Models) -> DataFrame:
             texts = [None if t is None else redacted(t, models) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

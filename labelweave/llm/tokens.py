@@ -10,6 +10,7 @@ text as a whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -57,6 +58,8 @@ class Encoder:
     def __init__(self, path: str, together: int = 500, at_once: int = 1024):
         from tokenizers import Tokenizer
 
+        # Every core has a task of its own; threads beside it only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # Only the pre-tokenizer's settings; those of the whole tokenizer take much memory.

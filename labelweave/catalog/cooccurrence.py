@@ -81,6 +81,21 @@ def c01b(spark, sf):
     return op.pair_counts(label_sets(fixtures.baskets(spark, sf)))
 
 
+@query(
+    "c01_frequent_pairs_long_list",
+    """
+WITH listed AS (
+  SELECT DISTINCT l_orderkey AS doc_id, 'p:' || l_partkey AS label FROM lineitem
+  UNION ALL SELECT DISTINCT -1, 'p:' || l_partkey FROM lineitem
+  UNION ALL SELECT DISTINCT -1, 'o:' || o_orderkey FROM orders)
+SELECT x.label AS a, y.label AS b, count(*) AS n FROM listed x JOIN listed y
+ON x.doc_id = y.doc_id AND x.label < y.label AND starts_with(x.label, 'p:') GROUP BY a, b HAVING count(*) >= 3
+""",
+)
+def c01c(spark, sf):
+    return op.frequent_pairs(label_sets(fixtures.catalogue(spark, sf)), 3)
+
+
 @query("c02_top_pairs", "SELECT a, b, n FROM pair_n ORDER BY n DESC, a, b LIMIT 20")
 def c02(spark, sf):
     return op.top_pairs(op.pair_counts(sets(spark, sf)))
@@ -108,7 +123,7 @@ ORDER BY directed_n.p DESC, given, other LIMIT 30
 """,
 )
 def c04(spark, sf):
-    return p6(op.high_conditionals(directed(spark, sf)))
+    return p6(op.strong_conditionals(sets(spark, sf)))
 
 
 @query(

@@ -6,6 +6,7 @@ from labelweave import fixtures
 from labelweave.catalog.registry import block, query
 from labelweave.operators import documents as doc
 from labelweave.operators import labels as op
+from labelweave.plans.durable import stored
 
 block(
     "label_tier",
@@ -44,6 +45,29 @@ def l02(spark, sf):
     return op.distinct_labels(fixtures.labelled(spark, sf))
 
 
+@query(
+    "l02_distinct_labels_of_parts",
+    """
+WITH named AS (SELECT l_linenumber::INT AS part, 'p:' || l_partkey AS label FROM lineitem
+  UNION ALL SELECT l_linenumber::INT, 'o:' || l_orderkey FROM lineitem)
+SELECT part, count(DISTINCT label) AS n_labels, true AS within_error FROM named GROUP BY part
+UNION ALL SELECT 0, count(DISTINCT label), true FROM named
+""",
+)
+def l02p(spark, sf):
+    """Exact counts, and whether the stored sketches of each part and of all (part 0) come within their error."""
+    docs = fixtures.shipped(spark, sf)
+    sketches = stored(op.label_sketches(docs), "label-sketches")
+    labels = docs.select("part", F.explode("labels").alias("label"))
+    exact = labels.groupBy("part").agg(F.countDistinct("label").alias("n_labels"))
+    exact = exact.unionByName(op.distinct_labels(docs).select(F.lit(0).alias("part"), "n_labels"))
+    guessed = sketches.select("part", F.hll_sketch_estimate("sketch").alias("guess")).unionByName(
+        op.sketched_labels(sketches).select(F.lit(0).alias("part"), F.col("n_labels").alias("guess"))
+    )
+    near = F.abs(F.col("guess") - F.col("n_labels")) <= op.sketch_error() * F.col("n_labels")
+    return exact.join(guessed, "part").select("part", "n_labels", near.alias("within_error"))
+
+
 @query(
     "l03_corpus_statistics",
     """

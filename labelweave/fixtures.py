@@ -74,6 +74,21 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, labels): the parts of each order, and one document with all parts and orders."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("p:"), "l_partkey").alias("label"))
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("label"))
+    every = lines.select("label").unionByName(orders).distinct().select(F.lit(-1).cast("bigint").alias("doc_id"), "label")
+    rows = lines.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label").unionByName(every)
+    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
+def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, labels): the part and order of each line, in parts by line number."""
+    names = [F.concat(F.lit("p:"), "l_partkey"), F.concat(F.lit("o:"), "l_orderkey")]
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("part"), F.array(*names).alias("labels"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, split, y_true, cells): truth and two models' probabilities.
 

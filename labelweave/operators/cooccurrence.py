@@ -7,6 +7,7 @@ once per document, and popular lists cost one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,6 +18,9 @@ from pyspark.sql import Window
 from labelweave.plans.durable import stored
 from labelweave.plans.sizing import as_array
 
+# How many labels of a list are paired at a time with as many others.
+BLOCK = 256
+
 
 def set_label_counts(sets: DataFrame) -> DataFrame:
     """(label, n) from distinct label lists."""
@@ -25,17 +29,52 @@ def set_label_counts(sets: DataFrame) -> DataFrame:
     )
 
 
-def pair_counts(sets: DataFrame) -> DataFrame:
-    """(a, b, n) with a before b: documents that carry both labels."""
-    heads = sets.where(F.size("labels") > 1).select(
-        F.posexplode("labels").alias("i", "a"), "labels", "n_docs"
-    )
-    rest = F.slice("labels", F.col("i") + 2, F.size("labels"))
+def _cells(sets: DataFrame, block: int) -> DataFrame:
+    """(left, right, n_docs): every two blocks of each list, dealt over tasks; right is null for a block with itself."""
+    start = F.sequence(F.lit(0), F.greatest(F.size("labels") - 1, F.lit(0)), F.lit(block))
+    blocks = F.transform(start, lambda i: F.slice("labels", i + 1, F.lit(block)))
+    rows = sets.where(F.size("labels") > 1).select(F.xxhash64("labels").alias("list"), blocks.alias("blocks"), "n_docs")
+    left = rows.select("list", "blocks", "n_docs", F.posexplode("blocks").alias("i", "left"))
+    others = F.concat(F.array(F.lit(None).cast("array<string>")), F.slice("blocks", F.col("i") + 2, F.size("blocks")))
+    cells = left.select("list", "i", "left", "n_docs", F.posexplode(others).alias("j", "right"))
+    # With a number given, adaptive execution doesn't merge the parts again.
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "list", "i", "j").select("left", "right", "n_docs")
+
+
+def pair_counts(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, n) with a before b: documents that carry both labels.
+
+    A list is cut into blocks of ``block`` labels and paired block by block,
+    so the pairs of one long list are formed by many tasks.
+    """
+    heads = _cells(sets, block).select(F.posexplode("left").alias("p", "a"), "left", "right", "n_docs")
+    rest = F.coalesce("right", F.slice("left", F.col("p") + 2, F.size("left")))
     return heads.select("a", F.explode(rest).alias("b"), "n_docs").groupBy("a", "b").agg(
         F.sum("n_docs").alias("n")
     )
 
 
+def supported(sets: DataFrame, keep: DataFrame) -> DataFrame:
+    """The lists without labels that are not in ``keep`` (label); lists that become alike are one row."""
+    rows = sets.select(F.sha2(F.to_json("labels"), 256).alias("list"), F.explode("labels").alias("label"), "n_docs")
+    left = rows.join(keep.select("label"), "label", "left_semi").groupBy("list").agg(
+        F.sort_array(F.collect_list("label")).alias("labels"), F.min("n_docs").alias("n_docs")
+    )
+    return left.groupBy("labels").agg(F.sum("n_docs").alias("n_docs"))
+
+
+def frequent_pairs(sets: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, n) of the pairs in at least ``least`` documents, counted exactly.
+
+    No pair is more frequent than its rarer label, so labels below ``least``
+    go before any pair is formed.
+    """
+    sets = stored(sets, "label-sets")
+    keep = set_label_counts(sets).where(F.col("n") >= least)
+    return pair_counts(supported(sets, keep), block).where(F.col("n") >= least)
+
+
 def top_pairs(pairs: DataFrame, k: int = 20) -> DataFrame:
     return pairs.orderBy(F.desc("n"), "a", "b").limit(k)
 
@@ -75,6 +114,15 @@ def high_conditionals(
     return strong.orderBy(F.desc("p"), "given", "other").limit(k)
 
 
+def strong_conditionals(sets: DataFrame, min_count: int = 10, min_p: float = 0.8, k: int = 30) -> DataFrame:
+    """``high_conditionals`` from the label lists; only pairs that can reach both limits are counted."""
+    sets = stored(sets, "label-sets")
+    # A little below the product, which may be rounded up.
+    least = max(1, math.floor(min_count * min_p * (1 - 1e-9)))
+    directed = directed_conditionals(frequent_pairs(sets, least), set_label_counts(sets))
+    return high_conditionals(directed, min_count, min_p, k)
+
+
 def rare_dependencies(
     pairs: DataFrame, counts: DataFrame, rare_below: int = 50, common_from: int = 100,
     keep: int = 3, min_ratio: float = 0.8,

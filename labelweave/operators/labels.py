@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 COMMON = 100
 MODERATE = 10
 
+# Size of a sketch of distinct labels: two to this power of registers.
+SKETCH_LG_K = 14
+
 
 def label_counts(docs: DataFrame) -> DataFrame:
     """(label, n): occurrences over the corpus."""
@@ -42,6 +45,27 @@ def distinct_labels(docs: DataFrame, approximate: bool = False) -> DataFrame:
     return labels.agg(count.alias("n_labels"))
 
 
+def label_sketches(docs: DataFrame, part: str = "part", lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """(part, sketch): a HyperLogLog sketch of the labels of each part of a corpus (part, labels).
+
+    Kept beside the parts, sketches add up: a new part costs one pass over it
+    alone, and any choice of parts is counted without reading them again. A
+    part without labels has an empty sketch.
+    """
+    labels = docs.select(F.col(part).alias("part"), F.explode_outer("labels").alias("label"))
+    return labels.groupBy("part").agg(F.hll_sketch_agg("label", lg_k).alias("sketch"))
+
+
+def sketched_labels(sketches: DataFrame) -> DataFrame:
+    """One row: about how many distinct labels the parts of ``sketches`` have together."""
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("n_labels"))
+
+
+def sketch_error(lg_k: int = SKETCH_LG_K) -> float:
+    """Three standard errors of a union of sketches, as a share of the count."""
+    return 3 * 1.04 / 2 ** (lg_k / 2)
+
+
 def ranked_labels(counts: DataFrame) -> DataFrame:
     """(rank, label) in alphabetical order, one row per class."""
     rank = F.row_number().over(Window.orderBy("label"))

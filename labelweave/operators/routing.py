@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ HEAD_RATIO = 0.7
 GAP = " [...] "
 BATCH_SIZE = 8
 
+# Scored cells that a task puts together at once.
+CELLS_TOGETHER = 1 << 20
+
 Strategy = Callable[[DataFrame], DataFrame]
 
 
@@ -204,19 +209,26 @@ def score_batches(
     """(doc_id, cells): a struct (label, p) per label from a Python model.
 
     ``load()`` runs once per task and returns a function from up to
-    ``batch_size`` texts to one row of probabilities each.
+    ``batch_size`` texts to one row of probabilities each, in the order of
+    ``labels``. Names meet probabilities by position, batch by batch.
     """
+    names, rows_together = list(labels), max(1, CELLS_TOGETHER // max(1, len(labels)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = load()
-        for batch in batches:
-            texts, out = batch["text"].tolist(), []
-            for start in range(0, len(texts), batch_size):
-                out.extend([float(p) for p in row] for row in score(texts[start : start + batch_size]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "proba": out})
+        known = pa.array(names, pa.string())
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows_together):
+                batch = whole.slice(first, rows_together)
+                texts, n, k = batch.column("text").to_pylist(), batch.num_rows, len(names)
+                found = np.empty((n, k))
+                for start in range(0, n, batch_size):
+                    some = texts[start : start + batch_size]
+                    found[start : start + batch_size] = np.asarray(score(some), dtype=np.float64).reshape(len(some), k)
+                cell = [known.take(pa.array(np.tile(np.arange(k), n))), pa.array(found.ravel())]
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * k, pa.int32())
+                cells = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cell, names=["label", "p"]))
+                yield pa.record_batch([batch.column("doc_id"), cells], names=["doc_id", "cells"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    scored = texts.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, proba array<double>")
-    names = F.array(*[F.lit(l) for l in labels])
-    cells = F.zip_with(names, "proba", lambda l, p: F.struct(l.alias("label"), p.alias("p")))
-    return scored.select("doc_id", cells.alias("cells"))
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, cells array<struct<label:string,p:double>>")

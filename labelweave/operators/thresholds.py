@@ -190,14 +190,6 @@ def most_improved(thresholds: DataFrame, n: int = 10) -> DataFrame:
     return thresholds.orderBy(F.desc("improvement"), "label").limit(n)
 
 
-def probability_values(scored: DataFrame, p: str, cells: str = "cells") -> DataFrame:
-    """(value, n) over all cells."""
-    values = F.transform(F.col(cells), lambda c: c[p])
-    return scored.select(F.explode(values).alias("value")).groupBy("value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-
-
 def probability_histogram(scored: DataFrame, p: str, bins: int = 50, cells: str = "cells") -> DataFrame:
     """(bin, low, high, n) over all cells, binned before they are grouped.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -85,3 +86,22 @@ def test_scores_meet_names_by_position(spark):
     for r in scored.collect():
         size = r["doc_id"] or 0
         assert [(c["label"], c["p"]) for c in r["cells"]] == [(n, (size + k) / 1000) for k, n in enumerate(names)]
+
+
+def test_prefixes_by_sorted_scan(spark):
+    rng = random.Random(5)
+    names = {"".join(rng.choice("ab\u00e9\U0001f600") for _ in range(rng.randint(0, 9))) for _ in range(400)} | {"", "a" * 40}
+    counts = [(name, i) for i, name in enumerate(sorted(names))]
+    frame = spark.createDataFrame([*counts, (None, 1)], "label string, n long")
+    for parts, extra in ((1, 4), (7, 4), (40, 1)):
+        want = {(s, l, a, b) for s, a in counts for l, b in counts if l.startswith(s) and len(l) - len(s) >= extra}
+        got = [tuple(r) for r in co.prefix_pairs(frame, extra, parts).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert co.prefix_pairs(frame.limit(0)).collect() == []
+
+
+def test_a_chain_of_names_over_many_parts(spark):
+    chain = spark.range(1, 121).select(F.expr("repeat('x', cast(id as int))").alias("label"), F.col("id").alias("n"))
+    found = co.prefix_pairs(chain, 4, 12)
+    assert found.count() == sum(max(0, n - 4) for n in range(1, 121))
+    assert found.where("length(short) <> n_short or length(long) <> n_long").isEmpty()

@@ -22,6 +22,9 @@ from labelweave.plans.sizing import as_array
 # How many labels of a list are paired at a time with as many others.
 BLOCK = 256
 
+# How many lists at most are looked up by label instead of being paired.
+LOOKED_UP = 32
+
 
 def set_label_counts(sets: DataFrame) -> DataFrame:
     """(label, n) from distinct label lists."""
@@ -58,22 +61,54 @@ def pair_counts(sets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def supported(sets: DataFrame, keep: DataFrame) -> DataFrame:
     """The lists without labels that are not in ``keep`` (label); lists that become alike are one row."""
-    rows = sets.select(F.sha2(F.to_json("labels"), 256).alias("list"), F.explode("labels").alias("label"), "n_docs")
+    # A number is made once per list; an expression of the list would be worked out again for each of its labels.
+    numbered = sets.withColumn("list", F.monotonically_increasing_id())
+    rows = numbered.select("list", F.explode("labels").alias("label"), "n_docs")
     left = rows.join(keep.select("label"), "label", "left_semi").groupBy("list").agg(
         F.sort_array(F.collect_list("label")).alias("labels"), F.min("n_docs").alias("n_docs")
     )
     return left.groupBy("labels").agg(F.sum("n_docs").alias("n_docs"))
 
 
+def _looked_up(lists: DataFrame, least: int, block: int) -> tuple[list[int], int]:
+    """Ids and documents of the longest lists that have fewer than ``least`` documents together.
+
+    A pair that only they hold can't reach the support. Lists of a block or
+    less and lists that repeat a label are paired like any other.
+    """
+    long = lists.where((F.size("labels") > block) & (F.size(F.array_distinct("labels")) == F.size("labels")) & (F.col("n_docs") < least))
+    ranked = long.select("list", F.size("labels").alias("size"), "n_docs").orderBy(F.desc("size"), "n_docs", "list")
+    ids, docs = [], 0
+    for row in ranked.limit(min(LOOKED_UP, max(0, least - 1))).collect():
+        if docs + row["n_docs"] < least:
+            ids.append(row["list"])
+            docs += row["n_docs"]
+    return ids, docs
+
+
 def frequent_pairs(sets: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
     """(a, b, n) of the pairs in at least ``least`` documents, counted exactly.
 
     No pair is more frequent than its rarer label, so labels below ``least``
-    go before any pair is formed.
+    go before any pair is formed. Nor is a pair frequent that occurs in a few
+    lists only which have fewer than ``least`` documents together: the longest
+    such lists form no pairs, and the pairs of the others that can reach the
+    support look up how many of them hold both labels.
     """
     sets = stored(sets, "label-sets")
     keep = set_label_counts(sets).where(F.col("n") >= least)
-    return pair_counts(supported(sets, keep), block).where(F.col("n") >= least)
+    lists = stored(supported(sets, keep).withColumn("list", F.monotonically_increasing_id()), "supported-lists")
+    ids, docs = _looked_up(lists, least, block)
+    if not ids:
+        return pair_counts(lists, block).where(F.col("n") >= least)
+    near = pair_counts(lists.where(~F.col("list").isin(ids)), block).where(F.col("n") >= least - docs)
+    held = lists.where(F.col("list").isin(ids)).select(F.explode("labels").alias("label"), F.struct("list", "n_docs").alias("held"))
+    held = stored(held.groupBy("label").agg(F.collect_list("held").alias("held")), "looked-up")
+    first, second = (held.select(F.col("label").alias(x), F.col("held").alias(f"in_{x}")) for x in "ab")
+    # Only a list that repeats a label pairs it with itself.
+    both = F.coalesce(F.when(F.col("a") != F.col("b"), F.array_intersect("in_a", "in_b")), F.array().cast("array<struct<list:bigint,n_docs:bigint>>"))
+    n = F.col("n") + F.aggregate(both, F.lit(0).cast("bigint"), lambda total, one: total + one["n_docs"])
+    return near.join(first, "a", "left").join(second, "b", "left").select("a", "b", n.alias("n")).where(F.col("n") >= least)
 
 
 def top_pairs(pairs: DataFrame, k: int = 20) -> DataFrame:

@@ -51,6 +51,24 @@ def test_frequent_pairs(spark, docs):
     assert rows(co.frequent_pairs(lab.label_sets(docs.limit(0)), 1)) == {}
 
 
+def test_longest_lists_below_the_support_form_no_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    names = [f"l{i:03d}" for i in range(300)]
+    lists = [names, names, names[40:], names[::3]]
+    lists += [sorted(rng.sample(names, rng.randint(0, 6))) for _ in range(500)]
+    frame = spark.createDataFrame(list(enumerate(lists)), "doc_id long, labels array<string>")
+    counted, formed = co.pair_counts, []
+
+    def seen(sets, block=co.BLOCK):
+        formed.append(sets.agg(F.max(F.size("labels"))).first()[0])
+        return counted(sets, block)
+
+    monkeypatch.setattr(co, "pair_counts", seen)
+    for least, longest in ((2, 300), (3, 260), (4, 100), (5, 6)):
+        assert rows(co.frequent_pairs(lab.label_sets(frame), least, 8)) == plain(lists, least)
+        assert formed[-1] == longest
+
+
 def test_lists_without_rare_labels_fold(spark, docs):
     keep = spark.createDataFrame([("a",), ("b",)], "label string")
     left = {tuple(r["labels"]): r["n_docs"] for r in co.supported(lab.label_sets(docs), keep).collect()}

@@ -405,6 +405,40 @@ def test_closure_of_a_long_chain(spark):
     assert implied(spark, list(zip(names, names[1:]))) == [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
 
 
+def plainly_implied(pairs):
+    above = {}
+    for child, parent in pairs:
+        above.setdefault(child, set()).add(parent)
+    out = set()
+    for child in above:
+        todo, seen = [child], set()
+        while todo:
+            for parent in above.get(todo.pop(), ()):
+                if parent not in seen:
+                    seen.add(parent)
+                    todo.append(parent)
+        out |= {(child, parent) for parent in seen if parent != child}
+    return sorted(out)
+
+
+def test_closure_of_mixed_relations(spark, monkeypatch):
+    monkeypatch.setattr(hi, "CELL", 3)
+    monkeypatch.setattr(hi, "TASK_ROWS", 40)
+    rng = np.random.default_rng(9)
+    for labels, edges in ((12, 9), (30, 34), (30, 60)):
+        pairs = [(f"l{a}", f"l{b}") for a, b in rng.integers(0, labels, (edges, 2)).tolist()]
+        assert implied(spark, pairs) == plainly_implied(pairs)
+
+
+def test_paths_that_end_at_one_label_are_dealt_over_tasks(spark):
+    paths = spark.range(20_000).select(F.col("id").alias("child"), F.lit(-1).cast("bigint").alias("parent"), F.lit(False).alias("exact"))
+    steps = spark.createDataFrame([(-1, -2), (-1, -3)], "child long, parent long")
+    met, _ = hi._extended(paths, steps)
+    shares = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 40_000 and max(shares) < 25_000
+    assert met.select("child", "parent").distinct().count() == 40_000
+
+
 def test_expansion_keeps_rows_nulls_and_other_columns(spark):
     docs = spark.createDataFrame([(1, ["c"], "x"), (1, ["c"], "y"), (2, [], "x"), (3, None, "x"), (4, ["z", "b"], "x")], "child int, labels array<string>, parent string")
     grown = hi.expand_labels(docs, [("c", "b"), ("b", "a")])

@@ -1,5 +1,7 @@
 """Evaluation, thresholds, ensembles, features and the baseline."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -479,6 +481,23 @@ def test_cells_above_a_floor_are_those_of_all_cells(floor):
     assert np.allclose(got, p[row, label])
 
 
+def test_products_hold_one_number_an_entry(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(bl, "ENTRIES", 20_000)
+    lengths = rng.integers(0, 40, 2000)
+    starts, entries = np.cumsum(lengths) - lengths, int(lengths.sum())
+    index, value, weights = rng.integers(0, 50, entries), rng.normal(size=entries), rng.normal(size=(50, 64))
+    dense = np.zeros((2000, 50))
+    np.add.at(dense, (np.repeat(np.arange(2000), lengths), index), value)
+    tracemalloc.start()
+    got = bl._margins(starts, index, value, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, dense @ weights)
+    # The result alone is 1 MB; all labels' products of a run would be 10.
+    assert peak < 4e6
+
+
 def test_sparse_scores_do_not_depend_on_blocks(spark, monkeypatch):
     docs = ft.with_terms(toy_training(spark), (), (1, 1))
     vectors = ft.vectorize(docs, ft.fit_vocabulary(docs))

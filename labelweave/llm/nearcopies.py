@@ -14,6 +14,10 @@ first n - ceil(0.8 n) + 1 of each, and l of the first n - ceil(0.8 n) + l.
    Sets whose SimHashes differ in two bits are met in the first round too.
 3. A candidate is dropped when the parities of its shingles' counts in slots
    differ more often than the sets may; what is left is compared exactly.
+4. Pairs of different groups are met block by block inside the tasks, where
+   sketches drop them before they are rows. Of those left a block first names
+   a forest, and the sets of the others; these meet once more when the forest
+   has been compared, and all their pairs of groups still different are.
 """
 
 from __future__ import annotations
@@ -36,11 +40,14 @@ TOKENS_TOGETHER = 400_000
 TOKENS_PER_PART = 500_000
 LEAST_PARTS = 16
 SALTS = 16
+BLOCK = 512
+PAIRS_TOGETHER = 1 << 15
+TRAVELS = 512  # bytes of a sketch that go with a set's shingles
 KEY = 16
 KEYS = f"V{KEY}"
 DOCUMENT, COUNTED, SEEN_HERE = 0, 1, 2  # kinds of rows
 ROWS = "kind int, part int, doc_id bigint, text_key string, set_key binary, n bigint, credit bigint, tokens binary, owners binary, keys binary"
-SETS = "set_key binary, n bigint, fp bigint, tokens array<bigint>, sketch binary"
+SETS = "set_key binary, n bigint, fp bigint, tokens array<bigint>, sketch binary, short binary"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -75,8 +82,8 @@ def first_shingles(n: int) -> tuple[int, int]:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Parities of the counts of shingles in at least as many slots, a power of two; halves fold by exclusive or."""
-    slots = 1 << max(6, int(len(found) - 1).bit_length())
+    """Parities of the counts of shingles in at least twice as many slots, a power of two; halves fold by exclusive or."""
+    slots = 2 << max(6, int(len(found) - 1).bit_length())
     counts = np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
@@ -105,6 +112,10 @@ def possible(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray) -> np
     return out
 
 
+def _short(whole: bytes) -> bytes:
+    return _parities([whole], len(whole), min(len(whole), TRAVELS)).tobytes()
+
+
 def _rows(count: int, **columns) -> pa.RecordBatch:
     """A record batch of ``ROWS`` with nulls where nothing is given."""
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -235,11 +246,13 @@ def _sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in slices(batches, 256):
             texts = batch.column("text").to_pylist()
             sets = [shingles(t) for t in texts]
+            sketches = [sketch(s) for s in sets]
             yield pa.record_batch(
                 [
                     pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([simhash.fingerprint(t) for t in texts], pa.int64()),
-                    pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary()),
+                    pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                    pa.array([_short(s) for s in sketches], pa.binary()),
                 ],
                 names=[f.split()[0] for f in SETS.split(", ")],
             )
@@ -327,23 +340,138 @@ def _first_round(sets: DataFrame, index: DataFrame) -> DataFrame:
     return met.unionByName(near.where("a < b"))
 
 
-def _second_round(index: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a shingle and belong to different groups so far.
+def _blocks(index: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of each shingle that several groups have, dealt into pairs of blocks (token, f, x).
 
-    Among the sets with a shingle, those of its largest group meet only sets
-    of other groups; where there is one group there is nothing to compare.
+    Those of a shingle's largest group, the blocks from ``few`` on, meet only
+    sets of other groups, the blocks before; where there is one group there is
+    nothing to compare. Block f is the left one; its sets meet one another
+    where x is ``few``, which every f has.
     """
     grouped = stored(
         index.join(nodes, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("own")), "near-grouped"
     )
     sizes = grouped.groupBy("token", "own").agg(F.count(F.lit(1)).alias("members"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("members", "own")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    rows = stored(grouped.join(mixed.select("token", F.col("top.own").alias("top")), "token"), "near-mixed")
-    few = rows.where("own <> top").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-    pairs = few.join(rows, "token").where(
-        (F.col("own") != F.col("own_a")) & ((F.col("own") == F.col("top")) | (F.col("a") < F.col("id"))) & _fits(F.col("n"), F.col("n_a"))
+    mixed = sizes.groupBy("token").agg(
+        F.max(F.struct("members", "own")).alias("top"), F.sum("members").alias("members"), F.count(F.lit(1)).alias("groups")
+    ).where("groups > 1")
+    blocks = [F.ceil(n / BLOCK).alias(x) for n, x in ((F.col("members") - F.col("top.members"), "few"), (F.col("top.members"), "most"))]
+    place = F.expr("if(own <> top, pmod(xxhash64(id), few), few + pmod(xxhash64(id), most))")
+    rows = grouped.join(mixed.select("token", F.col("top.own").alias("top"), *blocks), "token").withColumn("block", place)
+    # A block of few meets every other one, and itself beside the first of most.
+    others = F.expr("filter(sequence(0L, if(block < few, few + most, few) - 1), y -> y <> block)")
+    dealt = rows.select("token", "id", "n", "own", "few", "block", F.explode(others).alias("other"))
+    return dealt.select(
+        "token", F.least("block", "other").alias("f"), F.greatest("block", "other").alias("x"),
+        (F.col("block") < F.col("other")).alias("is_left"), "few", "id", "n", "own",
     )
-    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+
+
+def _close(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of different groups, in whole blocks, that sketches allow, and the share of slots that differ."""
+    token, f, x, left, few, n, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "f", "x", "is_left", "few", "n", "own"))
+    sketches = batch.column("short").to_pylist()
+    sizes = np.array([len(s) for s in sketches], dtype=np.int64)
+    held = {size: np.flatnonzero(sizes == size) for size in np.unique(sizes).tolist()}
+    place = np.empty(len(sizes), dtype=np.int64)
+    tables = {}
+    for size, at in held.items():
+        place[at] = np.arange(len(at))
+        tables[size] = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), dtype="<u8").reshape(len(at), size // 8)
+    starts = _starts(token, f, x)
+    ends = np.repeat(np.append(starts[1:], len(token)), np.diff(np.append(starts, len(token))))
+    # Left rows stand first; each meets what follows them, or it, up to the end.
+    rights = np.repeat(starts + np.add.reduceat(left.astype(np.int64), starts), np.diff(np.append(starts, len(token))))
+    mine = np.flatnonzero(left)
+    since = np.where(x == few, np.arange(len(token)) + 1, rights)[mine]
+    counts = ends[mine] - since
+    parts = np.searchsorted(np.cumsum(counts), np.arange(PAIRS_TOGETHER, counts.sum(), PAIRS_TOGETHER))
+    found = []
+    for rows, lows, many in zip(np.split(mine, parts), np.split(since, parts), np.split(counts, parts)):
+        a = np.repeat(rows, many)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lows, many)
+        kept = (own[a] != own[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+        a, b = a[kept], b[kept]
+        differ = np.zeros(len(a), dtype=np.int64)
+        for la, lb in set(zip(sizes[a].tolist(), sizes[b].tolist())):
+            at = np.flatnonzero((sizes[a] == la) & (sizes[b] == lb))
+            differ[at] = np.bitwise_count(_folded(tables[la][place[a[at]]], lb) ^ _folded(tables[lb][place[b[at]]], la)).sum(axis=1, dtype=np.int64)
+        kept = 9 * differ <= n[a] + n[b]
+        found.append((a[kept], b[kept], differ[kept] / np.maximum(1, n[a[kept]] + n[b[kept]])))
+    a, b, differ = (np.concatenate(c) for c in zip(*found))
+    return a, b, differ
+
+
+def _folded(table: np.ndarray, to: int) -> np.ndarray:
+    """Sketches, eight bytes a column, folded to ``to`` bytes if they are longer."""
+    while table.shape[1] > max(1, to // 8):
+        half = table.shape[1] // 2
+        table = table[:, :half] ^ table[:, half:]
+    return table
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows have another key than the one before."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+
+
+def _forest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which pairs join groups that those likelier than they don't join."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    joins = np.zeros(len(a), dtype=bool)
+    for i in np.argsort(differ, kind="stable").tolist():
+        x, y = find(int(own[a[i]])), find(int(own[b[i]]))
+        if x != y:
+            root[y] = x
+            joins[i] = True
+    return joins
+
+
+def _across(index: DataFrame, nodes: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of sets of different groups so far that share a shingle and that sketches allow.
+
+    With ``forest`` only some that would join all these groups; the sets of
+    the others are then rows too, with no ``b``. Tasks hold two blocks and
+    what they read at once; pairs that sketches drop are never rows.
+    """
+
+    def meet(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, differ = _close(batch)
+        ids = batch.column("id").to_numpy()
+        joins = _forest(a, b, differ, batch.column("own").to_numpy()) if forest else np.ones(len(a), dtype=bool)
+        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        pairs = np.unique(np.stack([low[joins], high[joins]], axis=1), axis=0)
+        more = np.unique(np.concatenate([low[~joins], high[~joins]]))
+        return pa.record_batch(
+            [pa.array(np.concatenate([pairs[:, 0], more])), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(more), pa.int64())])], names=["a", "b"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in slices(batches, 8 * BLOCK):
+            rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            whole = int(_starts(*(rest.column(c).to_numpy() for c in ("token", "f", "x")))[-1]) if rest.num_rows else 0
+            if whole:
+                yield meet(rest.slice(0, whole))
+                rest = rest.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield meet(rest)
+
+    place = ["token", "f", "x"]
+    rows = _blocks(index, nodes).join(sets.select("id", "short"), "id")
+    ordered = rows.repartition(*place).sortWithinPartitions(*place, F.desc("is_left"))
+    return stored(ordered.mapInArrow(tidy(run), "a bigint, b bigint"), "near-across")
+
+
+def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of those that ``nodes`` has and of the ``links`` between them."""
+    return connected_components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -359,9 +487,11 @@ def groups(docs: DataFrame) -> DataFrame:
     marked, wanted = _marked(docs)
     sets = _sets(docs, marked, wanted)
     index = _index(sets)
-    first = _alike(_first_round(sets, index), sets)
-    second = _alike(_second_round(index, connected_components(first)), sets)
-    nodes = connected_components(first.unionByName(second))
+    nodes = connected_components(_alike(_first_round(sets, index), sets))
+    some = _across(index, nodes, sets, forest=True)
+    nodes = _joined(nodes, _alike(some.where("b is not null"), sets))
+    left = stored(index.join(some.where("b is null").select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "near-left")
+    nodes = _joined(nodes, _alike(_across(left, nodes, sets, forest=False), sets))
     roots = sets.select("id", "set_key").join(nodes, F.col("id") == F.col("node")).select("set_key", "component")
     grouped = marked.join(roots, "set_key", "left").withColumn(
         "group_key", F.when(F.col("component").isNull(), F.hex("set_key")).otherwise(F.col("component").cast("string"))

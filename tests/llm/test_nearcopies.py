@@ -126,3 +126,21 @@ def test_odd_rows(spark, odd):
     kept = nearcopies.first_of_groups(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 7, 8, 9, 10]
     assert nearcopies.first_of_groups(odd.limit(0)).collect() == []
+
+
+def test_pairs_that_are_dropped_are_never_rows(spark, monkeypatch):
+    """A cloud of texts that share most shingles while few pairs are near copies: blocks pass on few rows, and no group is lost."""
+    pick = random.Random(9)
+    base = written(pick, 200)
+    texts = [" ".join(edited(pick, base, pick.choice((2, 3, 7, 8, 9)))) for _ in range(400)]
+    sets = [plain_shingles(t) for t in texts]
+    passed = []
+    across = nearcopies._across
+    monkeypatch.setattr(nearcopies, "_across", lambda *a, **b: passed.append(across(*a, **b)) or passed[-1])
+    monkeypatch.setattr(nearcopies, "BLOCK", 64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(docs).collect()}
+    want = all_groups(sets)
+    pairs = sum(1 for a in range(400) for b in range(a) if want[a] != want[b])
+    assert got == want and 20 < len(set(want.values()))
+    assert sum(p.count() for p in passed) < pairs / 4

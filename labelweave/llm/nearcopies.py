@@ -41,8 +41,10 @@ TOKENS_PER_PART = 500_000
 LEAST_PARTS = 16
 SALTS = 16
 BLOCK = 512
-PAIRS_TOGETHER = 1 << 15
+PAIRS_TOGETHER = 1 << 13
 TRAVELS = 512  # bytes of a sketch that go with a set's shingles
+MOST_SLOTS = 1 << 21  # rows of a broadcast
+SLOT = "_labelweave_slot"
 KEY = 16
 KEYS = f"V{KEY}"
 DOCUMENT, COUNTED, SEEN_HERE = 0, 1, 2  # kinds of rows
@@ -239,6 +241,21 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("kind") == DOCUMENT).select("doc_id", "text_key", "set_key"), smaller.where((F.col("credit") > 0) & (F.col("credit") >= need)).select("set_key")
 
 
+def _text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def _slots(keys: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """(slots that the text keys in ``column`` hash to, condition that a text does too), to join before texts are shuffled.
+
+    Other texts pass by chance, one in sixteen or fewer up to a sixteenth of
+    ``MOST_SLOTS`` keys, more beyond; so a join on the whole key must follow.
+    """
+    slots = min(MOST_SLOTS, 16 << keys.count().bit_length())
+    held = keys.select(F.pmod(F.xxhash64(column), F.lit(slots)).alias(SLOT)).distinct()
+    return F.broadcast(held), F.pmod(F.xxhash64(_text_key()), F.lit(slots)) == F.col(SLOT)
+
+
 def _sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame:
     """The sets that ``wanted`` names, with an id, their SimHash and sketch; one row a set."""
 
@@ -258,7 +275,8 @@ def _sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     texts = stored(marked.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min("text_key").alias("text_key")), "near-wanted")
-    found = _keyed(docs).join(texts.select("text_key"), "text_key", "left_semi").select("text").mapInArrow(tidy(run), SETS)
+    held, likely = _slots(texts, "text_key")
+    found = _keyed(docs.join(held, likely, "left_semi")).join(texts.select("text_key"), "text_key", "left_semi").select("text").mapInArrow(tidy(run), SETS)
     return stored(found.dropDuplicates(["set_key"]).withColumn("id", F.monotonically_increasing_id()), "near-sets")
 
 
@@ -518,8 +536,9 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
         judged.where("is_first").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).count().where("count > 1").drop("count"),
         "near-repeated",
     )
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("gone_key"))
-    left = docs.join(gone, same, "left_anti")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (_text_key() == F.col("gone_key"))
+    held, likely = _slots(gone, "gone_key")
+    left = docs.join(held, likely, "left_anti").unionByName(docs.join(held, likely, "left_semi").join(gone, same, "left_anti"))
     once = left.join(repeated, same, "left_anti")
     several = left.join(repeated, same, "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")))).orderBy(F.lit(1)))

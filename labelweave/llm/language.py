@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.llm.worker import shared, slices
+from labelweave.llm.worker import shared, slices, tidy
 
 UNKNOWN = "und"
 COMMON = 3  # so many landmarks must have a 3-gram; fewer may be texts that quote another language
@@ -227,7 +227,7 @@ def annotate(docs: DataFrame, model: Model | None, names: Sequence[str] = ("lang
 
     kept = docs.drop(*names)
     added = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, *added]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

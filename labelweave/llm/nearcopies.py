@@ -336,8 +336,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     others = salted.join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "salt", "b", "tokens")
     own = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "tokens"), "a")
     both = own.select("a", "salt", F.lit(None).cast("bigint").alias("b"), "tokens").unionByName(others)
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    ordered = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     found = stored(ordered.mapInArrow(tidy(compare), "a bigint, b bigint"), "near-links")
     discard(close)
     return found

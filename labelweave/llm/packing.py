@@ -71,13 +71,14 @@ def best_fit_decreasing(sizes: list[int], window: int) -> list[tuple[int, int]]:
     return placed
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, together: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, together: int = 4096, at_once: int = 1024) -> DataFrame:
     """Tokenize ``docs`` (doc_id, text) and pack every id into windows.
 
     A document is its ids and ``end_id``. A document longer than ``window``
     is cut into full windows first; what is left of up to ``together``
     documents of a task is packed by best-fit decreasing, so memory is
-    bounded by ``together * window`` ids and nothing is shuffled.
+    bounded by ``together * window`` ids and nothing is shuffled; ``at_once``
+    is the encoder's.
 
     Returns one row per piece: ``ids`` holds the piece as little-endian
     unsigned 32-bit integers, ``start`` counts the document's ids before it,
@@ -90,7 +91,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, at_once).encode
         # Reading a vocabulary leaves more behind than it keeps.
         give_back()
         end = end_id.to_bytes(ID_BYTES, "little")

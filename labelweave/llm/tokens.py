@@ -53,7 +53,11 @@ def texts_together(batches: Iterator[pa.RecordBatch], most: int = BYTES_TOGETHER
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes."""
+    """Texts to ids as little-endian unsigned 32-bit bytes.
+
+    The library gets ``at_once`` strings a call, mostly of ``together`` words
+    each; fewer need less memory and a little more time.
+    """
 
     def __init__(self, path: str, together: int = 500, at_once: int = 1024):
         from tokenizers import Tokenizer
@@ -147,6 +151,6 @@ class Encoder:
         return self._by_piece(texts) if len(texts) else []
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
-    return shared("tokens", path, lambda: Encoder(path))
+def encoder(path: str, at_once: int = 1024) -> Encoder:
+    """This worker's encoder for a vocabulary file; see ``Encoder``."""
+    return shared("tokens", (path, at_once), lambda: Encoder(path, at_once=at_once))

@@ -1,6 +1,8 @@
 """The corpus pipeline, stage by stage against plain counterparts."""
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -50,3 +52,23 @@ def test_stages_on_odd_rows(spark, odd, small):
         assert out.columns == odd.columns and out.count() <= odd.count()
         assert stage(spark, odd.limit(0), small).collect() == []
     assert corpus_pipeline.pack(spark, odd.limit(0), small).collect() == []
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark, small):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([[batch.nbytes], [batch.num_rows]], names=["size", "n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        own = spark.newSession()
+        docs = own.range(0, 6000, 1, 1).selectExpr("id doc_id", "repeat('some words ', 200) text", "'en' lang", "'x' source", "2200L n_chars")
+        stage(own, docs.limit(0), small)
+        got = docs.mapInArrow(sizes, "size long, n long").agg(F.max("size"), F.sum("n")).first()
+        assert got[0] <= corpus_pipeline.MOST_BATCH_BYTES + 5000 and got[1] == 6000, name
+
+
+def test_stages_keep_a_bound_that_is_set(spark, odd, small):
+    own = spark.newSession()
+    own.conf.set(corpus_pipeline.BATCH_BYTES, 12345)
+    corpus_pipeline.pack(own, odd, small)
+    assert own.conf.get(corpus_pipeline.BATCH_BYTES) == "12345"

@@ -2,8 +2,9 @@
 
 The model file is read as a protobuf; its normaliser, blank marker, scores,
 merges and byte fallback are rebuilt as a ``tokenizers`` pipeline, which
-encodes batches on several threads. Ids are compared with those of the
-sentencepiece library for every distinct piece of text that is encoded.
+encodes batches on one thread, as Spark runs a task per core. Ids are compared
+with those of the sentencepiece library for every distinct piece of text that
+is encoded.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MODEL_KIND, BYTE_FALLBACK = 3, 35
 UNIGRAM, BPE = 1, 2
 CHARSMAP, DUMMY_PREFIX, SQUEEZE, ESCAPE = 2, 3, 4, 5
 
+TOGETHER = 64  # new cuts that go through both libraries in one string
+
 ENCODED = "doc_id bigint, ids binary, n_tokens bigint, parity boolean, round_trip boolean"
 
 
@@ -152,21 +155,23 @@ class Codec:
     """A model in both libraries, and the pieces of text already encoded.
 
     Where the model splits at blanks and leaves the text as it is, a text is
-    cut there and each distinct cut is encoded, checked and decoded once. At
-    most ``keep`` cuts stay in memory.
+    cut there and each distinct cut is encoded, checked and decoded once. When
+    more than ``keep`` cuts are in memory, all are dropped.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, "rb") as f:
             spec = Spec.parse(f.read())
         self.tokenizer = backend(spec)
         self.theirs = SentencePieceProcessor(model_file=path)
         self.by_cut = spec.splits_at_blanks() and spec.dummy_prefix and spec.escape and not spec.squeeze and not spec.charsmap
+        self.starts = np.array([p.startswith(MARK) for p, _, _ in spec.pieces])
         self.keep = keep
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        self.known: dict[str, bytes] = {}
+        self.failed: dict[str, tuple[bool, bool]] = {}  # known cuts for which a check doesn't hold
 
     def check(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, equal to the other library's, decoded to the text) of each text."""
@@ -183,15 +188,36 @@ class Codec:
             return self.check(texts)
         if len(self.known) > self.keep:
             self.known.clear()
+            self.failed.clear()
         cuts = [self.cut(t) for t in texts]
-        fresh = list(set().union(*cuts).difference(self.known)) if cuts else []
-        self.known.update(zip(fresh, self.check(fresh) if fresh else ()))
+        self.learn(set().union(*cuts).difference(self.known))
         out = []
         for own in cuts:
-            found = [self.known[c] for c in own]
-            out.append((b"".join(f[0] for f in found), all(f[1] for f in found), all(f[2] for f in found)))
+            failed = [self.failed[c] for c in own if c in self.failed] if self.failed else []
+            ids = b"".join(map(self.known.__getitem__, own))
+            out.append((ids, all(f[0] for f in failed), all(f[1] for f in failed)))
         return out
 
+    def learn(self, fresh: set[str]) -> None:
+        """Encode and check new cuts, those without blanks and markers many to a string.
+
+        The ids of such a cut start at its only marked piece. A string for
+        which that or a check doesn't hold gives its cuts to be done alone.
+        """
+        plain = [c for c in fresh if " " not in c and MARK not in c]
+        alone = list(fresh.difference(plain))
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for own, (ids, parity, back) in zip(groups, self.check([" ".join(g) for g in groups])):
+            at = (4 * np.flatnonzero(self.starts[np.frombuffer(ids, dtype="<u4")])).tolist()
+            if parity and back and len(at) == len(own):
+                self.known.update((c, ids[a:b]) for c, a, b in zip(own, at, at[1:] + [len(ids)]))
+            else:
+                alone += own
+        for c, (ids, parity, back) in zip(alone, self.check(alone)):
+            self.known[c] = ids
+            if not (parity and back):
+                self.failed[c] = parity, back
+
     @staticmethod
     def cut(text: str) -> list[str]:
         """The text without one blank at each cut; encoding puts the blank back as its dummy prefix."""

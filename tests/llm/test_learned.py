@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -244,6 +245,48 @@ def test_pieces_have_the_ids_of_sentencepiece():
         assert whole == want
 
 
+class Counted:
+    """A sentencepiece processor that counts the strings it is given, and gives wrong ids for those that hold ``wrong``."""
+
+    def __init__(self, real, wrong):
+        self.real, self.wrong, self.strings = real, wrong, 0
+
+    def encode(self, texts, **how):
+        self.strings += len(texts)
+        return [i + [0] if self.wrong in t else i for i, t in zip(self.real.encode(texts, **how), texts)]
+
+
+def test_new_words_go_many_to_a_string():
+    codec = pieces.Codec(PIECES)
+    codec.theirs = real = Counted(codec.theirs, "no such word")
+    words = [f"w{i}日" for i in range(6400)]
+    found = codec.encode([" ".join(words[i : i + 64]) for i in range(0, 6400, 64)])
+    assert real.strings <= 6400 // 10 and all(parity and back for _, parity, back in found)
+    # A worker in each core: threads of its own would only wait for one another.
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_a_word_that_fails_a_check_fails_its_texts_only():
+    codec = pieces.Codec(PIECES)
+    real = codec.theirs
+    codec.theirs = Counted(real, "word7x")
+    texts = [f"some word{i}x and others" for i in range(300)] + ["word7x", "some  word7x", "others"]
+    for _ in range(2):  # the second time from memory
+        found = codec.encode(texts)
+        assert [np.frombuffer(ids, dtype="<u4").tolist() for ids, *_ in found] == real.encode(texts)
+        assert [parity for _, parity, _ in found] == ["word7x" not in t for t in texts] and all(back for *_, back in found)
+
+
+def test_words_are_found_again_after_memory_is_dropped():
+    codec = pieces.Codec(PIECES, keep=10)
+    codec.theirs = Counted(real := codec.theirs, "word7x")
+    for i in range(40):
+        text = f"here word{i}x once word{i}y"
+        (ids, parity, back), = codec.encode([text])
+        assert np.frombuffer(ids, dtype="<u4").tolist() == real.encode(text) and parity == (i != 7) and back
+        assert len(codec.known) <= 14 and set(codec.failed) <= set(codec.known)
+
+
 def test_pieces_query_and_decoding(spark, small, texts, docs):
     rows = {r["doc_id"]: r for r in entry.queries()["op9_pieces"](spark, small).collect()}
     theirs = sentencepiece.SentencePieceProcessor(model_file=PIECES)

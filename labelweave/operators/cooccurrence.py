@@ -8,10 +8,9 @@ once per document, and popular lists cost one row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -22,6 +21,9 @@ from labelweave.plans.sizing import as_array
 # How many labels of a list are paired at a time with as many others.
 BLOCK = 256
 
+# How many sorted names at most meet one another, a divisor of 2 ** 33.
+RUN = 256
+
 # How many lists at most are looked up by label instead of being paired.
 LOOKED_UP = 32
 
@@ -175,49 +177,30 @@ def rare_dependencies(
     )
 
 
-def _sorted_parts(counts: DataFrame, parts: int) -> DataFrame:
-    """(part, label, n, carried): the names by ranges, and in each range the names before it that start its first name.
-
-    A name of an earlier range that starts any name of a range also starts
-    its first one, so that few names are carried: at most one for each
-    character of a first name.
-    """
-    ranged = counts.where("label is not null").select("label", "n").repartitionByRange(parts, "label")
-    named = stored(ranged.select(F.spark_partition_id().alias("part"), "label", "n"), "sorted-names")
-    firsts = named.groupBy("part").agg(F.min("label").alias("first")).where("first <> ''")
-    starts = firsts.select("part", F.explode(F.sequence(F.lit(0), F.length("first") - 1)).alias("size"), "first")
-    open_ones = starts.select("part", F.expr("substring(first, 1, size)").alias("label")).join(named.select("label", "n"), "label")
-    return named.withColumn("carried", F.lit(False)).unionByName(open_ones.withColumn("carried", F.lit(True)))
-
-
 def prefix_pairs(counts: DataFrame, min_extra: int = 4, parts: int | None = None) -> DataFrame:
     """(short, long, n_short, n_long): names that start with another name, at least ``min_extra`` characters shorter.
 
-    Names are dealt by ranges and read in order; a stack holds those that the
-    present one starts with. Its depth is bounded by the length of a name, and
-    each name moves once, not once per character.
+    Names are sorted by ranges and cut into runs of at most ``RUN``; each
+    meets those before it in its run. A name of an earlier run that starts any
+    name of a run starts or equals its first one, so digests of what starts
+    first names tell which names are met in further runs. Each name moves a
+    fixed number of times and not once per character.
     """
     parts = parts or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_names: list[tuple[str, int]] = []
-        here = None
-        for batch in batches:
-            found: list[tuple[str, str, int, int]] = []
-            for part, name, n, carried in zip(*(batch.column(c).to_pylist() for c in ("part", "label", "n", "carried"))):
-                if part != here:
-                    here, open_names = part, []
-                while open_names and not name.startswith(open_names[-1][0]):
-                    open_names.pop()
-                if not carried:
-                    found += [(short, name, m, n) for short, m in open_names if len(name) - len(short) >= min_extra]
-                open_names.append((name, n))
-            columns = zip(*found) if found else [()] * 4
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["short", "long", "n_short", "n_long"])
-
-    dealt = _sorted_parts(counts, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "label")
-    return dealt.mapInArrow(run, "short string, long string, n_short bigint, n_long bigint")
+    ranged = counts.where("label is not null").select("label", "n").repartitionByRange(parts, "label").sortWithinPartitions("label")
+    # The rows of each part are numbered in their order, from a multiple of 2 ** 33.
+    placed = stored(ranged.select(F.monotonically_increasing_id().alias("place"), "label", "n"), "sorted-names")
+    names = placed.withColumn("run", F.expr(f"place div {RUN}"))
+    firsts = names.groupBy("run").agg(F.min("label").alias("first"))
+    starts = firsts.select("run", "first", F.explode(F.sequence(F.lit(0), F.length("first"))).alias("size"))
+    starts = starts.select(F.col("run").alias("later"), F.expr("xxhash64(substring(first, 1, size))").alias("digest"))
+    carried = names.withColumn("digest", F.xxhash64("label")).join(starts, "digest").where("run < later")
+    shorts = names.select("run", "place", "label", "n").union(carried.select("later", "place", "label", "n"))
+    shorts = shorts.select("run", "place", F.col("label").alias("short"), F.col("n").alias("n_short"))
+    longs = names.select("run", F.col("place").alias("at"), F.col("label").alias("long"), F.col("n").alias("n_long"))
+    extra = F.length("long") - F.length("short")
+    found = shorts.join(longs, "run").where(F.startswith("long", "short") & (F.col("place") < F.col("at")) & (extra >= min_extra))
+    return found.select("short", "long", "n_short", "n_long")
 
 
 def top_matrix(sets: DataFrame, counts: DataFrame, top_n: int = 15) -> DataFrame:

@@ -123,3 +123,16 @@ def test_a_chain_of_names_over_many_parts(spark):
     found = co.prefix_pairs(chain, 4, 12)
     assert found.count() == sum(max(0, n - 4) for n in range(1, 121))
     assert found.where("length(short) <> n_short or length(long) <> n_long").isEmpty()
+
+
+def test_names_meet_those_of_earlier_runs(spark, monkeypatch):
+    """Runs of two names, some of them repeated, which fall into different runs."""
+    rng = random.Random(7)
+    names = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(150)]
+    counts = [(name, i) for i, name in enumerate(names)]
+    frame = spark.createDataFrame(counts, "label string, n long")
+    want = sorted((s, l, a, b) for s, a in counts for l, b in counts if l.startswith(s) and len(l) - len(s) >= 1)
+    monkeypatch.setattr(co, "RUN", 2)
+    found = co.prefix_pairs(frame, 1, 3)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()

@@ -271,6 +271,52 @@ def test_fit_does_not_depend_on_blocks_parts_or_empty_tasks(spark, monkeypatch):
     assert spread["never"][0] == float("-inf")
 
 
+def fits_with_rounds(vectors, monkeypatch, **named):
+    """Coefficients by label, and how many states were written."""
+    written, made = [], bl.run_dir
+    monkeypatch.setattr(bl, "run_dir", lambda spark, name: (written.append(name), made(spark, name))[1])
+    fitted = bl.fit_baseline(vectors, label_frame(vectors.sparkSession, ["A", "B"]), **named).collect()
+    monkeypatch.setattr(bl, "run_dir", made)
+    return {r.label: [r.intercept, *r.weights] for r in fitted}, written.count("fits")
+
+
+def test_fit_takes_few_rounds_and_drawn_rows_do_not_change_it(spark, monkeypatch):
+    docs = ft.with_terms(toy_training(spark, 200), (), (1, 2))
+    vectors = ft.vectorize(docs, ft.fit_vocabulary(docs))
+    whole, rounds = fits_with_rounds(vectors, monkeypatch, tol=1e-7, c=50.0)
+    assert rounds <= 30
+    monkeypatch.setattr(bl, "CURVATURE", 600)
+    drawn, _ = fits_with_rounds(vectors, monkeypatch, tol=1e-7, c=50.0)
+    for label in ("A", "B"):
+        assert np.allclose(whole[label], drawn[label], atol=1e-3)
+
+
+def test_drawn_rows_stand_for_all(spark, monkeypatch):
+    """Rare classes stay whole, and rows divided by their share add up."""
+    rows = [(["A"] if i < 5 else [], [i % 7, 7], [1.0, 0.5]) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "labels array<string>, i array<int>, x array<double>")
+    state = {"label": "A", "w_pos": 400.0, "w_neg": 0.5, "trial": bytes(72), "steps": 0, "done": False}
+    path = bl.run_dir(spark, "state")
+    spark.createDataFrame([state], "label string, w_pos double, w_neg double, trial binary, steps int, done boolean").write.parquet(path)
+    monkeypatch.setattr(bl, "CURVATURE", 3000)
+    drawn = bl._drawn(frame, path).collect()
+    assert sum(r.labels == ["A"] for r in drawn) == 5 and 500 < len(drawn) < 1300
+    assert sum(1 / r.share for r in drawn) == pytest.approx(4000, rel=0.15)
+    monkeypatch.setattr(bl, "CURVATURE", 12000)
+    assert bl._drawn(frame, path).count() == 4000
+
+
+def test_a_step_that_goes_too_far_is_worked_out_again():
+    row = {
+        "label": "a", "point": np.zeros(2).tobytes(), "trial": np.array([4.0, 0.0]).tobytes(), "gradient": np.array([-1.0, 0.0]).tobytes(),
+        "past": b"", "scale": np.ones(2).tobytes(), "loss": 1.0, "step": 1.0, "slope": -4.0, "steps": 1, "halvings": 0, "done": False,
+    }
+    curvature = lambda point, scale: lambda g: 4 * g
+    after = bl._advanced(row, np.array([1.0, 0.0, 50.0]), 1.0, 10, 1e-6, curvature)
+    # On the way to the trial the gradient rose by 6 over 4.
+    assert np.allclose(np.frombuffer(after["trial"]), [4 / 6, 0.0]) and (after["point"], after["halvings"], after["done"]) == (row["point"], 1, False)
+
+
 def test_a_step_that_does_not_lower_the_loss_is_halved():
     row = {
         "label": "a", "point": np.zeros(2).tobytes(), "trial": np.array([4.0, 0.0]).tobytes(), "gradient": np.array([-1.0, 0.0]).tobytes(),

@@ -338,6 +338,29 @@ def test_penalised_gradient_is_zero_at_the_fit_only(spark):
     assert min(r.gradient for r in bl.penalised_gradient(vectors, moved).collect() if r.label != "always") > 0.1
 
 
+def test_tasks_add_up_residuals_before_they_move(spark):
+    """Many small batches of a task give one row a label, and the components are those of plain sums."""
+    docs = ft.with_terms(toy_training(spark), (), (1, 1))
+    vectors = ft.vectorize(docs, ft.fit_vocabulary(docs)).coalesce(1)
+    width = len(vectors.first().features)
+    model = bl.model_frame(spark, [(l, 0.1, [0.3 * i - 0.1 * j for j in range(width)], False) for i, l in enumerate("AB")])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        steep = bl.penalised_gradient(vectors, model, 2.0)
+        assert "posexplode" not in steep._jdf.queryExecution().executedPlan().toString()
+        got = {r.label: r.gradient for r in steep.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = vectors.collect()
+    x = np.array([[*r.features.toArray(), 1.0] for r in rows])
+    for r in model.collect():
+        y = np.array([r.label in one.labels for one in rows])
+        cost = np.where(y, len(y) / 2 / y.sum(), len(y) / 2 / (~y).sum())
+        w = np.array([*r.weights, r.intercept])
+        want = x.T @ (cost * (1 / (1 + np.exp(-x @ w)) - y)) + np.append(w[:-1], 0) / 2
+        assert got[r.label] == pytest.approx(np.abs(want).max())
+
+
 def test_large_degrees_of_freedom():
     from labelweave.functions.stats import two_sided_p
 

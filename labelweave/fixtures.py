@@ -75,12 +75,14 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, labels): the parts of each order, and one document with all parts and orders."""
+    """(doc_id, label), which may repeat: the parts of each order, and one document with all parts and orders.
+
+    A row each, as no row can hold all parts and orders of a large store.
+    """
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("p:"), "l_partkey").alias("label"))
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("label"))
     every = lines.select("label").unionByName(orders).distinct().select(F.lit(-1).cast("bigint").alias("doc_id"), "label")
-    rows = lines.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label").unionByName(every)
-    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return lines.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label").unionByName(every)
 
 
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:

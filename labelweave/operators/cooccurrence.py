@@ -24,6 +24,9 @@ BLOCK = 256
 # How many sorted names at most meet one another, a divisor of 2 ** 33.
 RUN = 256
 
+# In how many groups the pieces of a long list meet one another.
+GROUPS = 64
+
 # How many lists at most are looked up by label instead of being paired.
 LOOKED_UP = 32
 
@@ -48,42 +51,62 @@ def _cells(sets: DataFrame, block: int) -> DataFrame:
     return cells.repartition(parts, "list", "i", "j").select("left", "right", "n_docs")
 
 
+def _across(sets: DataFrame) -> DataFrame:
+    """(a, b, n_docs): pairs of labels in two pieces of a list, dealt over tasks by groups of pieces."""
+    pieces = sets.where("list is not null and size(labels) > 0").withColumn("row", F.xxhash64("labels"))
+    placed = pieces.withColumn("g", F.pmod("row", F.lit(GROUPS)).cast("int"))
+    met = placed.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))).select(
+        "list", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "g", F.col("labels")[0].alias("first"), "labels", "n_docs"
+    )
+    left, right = (met.select("list", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in ("g", "first", "labels")], *n) for x, n in (("l", ["n_docs"]), ("r", [])))
+    # Pieces have no label in common, so their first ones put them in order.
+    inside = (F.least("g_l", "g_r") == F.col("low")) & (F.greatest("g_l", "g_r") == F.col("high")) & (F.col("first_l") < F.col("first_r"))
+    heads = left.join(right, ["list", "low", "high"]).where(inside).select(F.explode("labels_l").alias("x"), "labels_r", "n_docs")
+    both = heads.select("x", F.explode("labels_r").alias("y"), "n_docs")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n_docs")
+
+
 def pair_counts(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, n) with a before b: documents that carry both labels.
 
     A list is cut into blocks of ``block`` labels and paired block by block,
-    so the pairs of one long list are formed by many tasks.
+    so the pairs of one long list are formed by many tasks. Rows with the same
+    number in ``list`` are pieces of one list.
     """
     heads = _cells(sets, block).select(F.posexplode("left").alias("p", "a"), "left", "right", "n_docs")
     rest = F.coalesce("right", F.slice("left", F.col("p") + 2, F.size("left")))
-    return heads.select("a", F.explode(rest).alias("b"), "n_docs").groupBy("a", "b").agg(
-        F.sum("n_docs").alias("n")
-    )
+    pairs = heads.select("a", F.explode(rest).alias("b"), "n_docs")
+    if "list" in sets.columns:
+        pairs = pairs.unionByName(_across(sets))
+    return pairs.groupBy("a", "b").agg(F.sum("n_docs").alias("n"))
 
 
 def supported(sets: DataFrame, keep: DataFrame) -> DataFrame:
-    """The lists without labels that are not in ``keep`` (label); lists that become alike are one row."""
-    # A number is made once per list; an expression of the list would be worked out again for each of its labels.
-    numbered = sets.withColumn("list", F.monotonically_increasing_id())
-    rows = numbered.select("list", F.explode("labels").alias("label"), "n_docs")
-    left = rows.join(keep.select("label"), "label", "left_semi").groupBy("list").agg(
-        F.sort_array(F.collect_list("label")).alias("labels"), F.min("n_docs").alias("n_docs")
+    """The lists without labels that are not in ``keep`` (label); lists that become alike are one row, pieces of lists stay apart."""
+    piece = [c for c in ("list",) if c in sets.columns]
+    # A number is made once per row; an expression of the list would be worked out again for each of its labels.
+    numbered = sets.withColumn("row", F.monotonically_increasing_id())
+    rows = numbered.select("row", F.explode("labels").alias("label"), "n_docs", *piece)
+    left = rows.join(keep.select("label"), "label", "left_semi").groupBy("row").agg(
+        F.sort_array(F.collect_list("label")).alias("labels"), F.min("n_docs").alias("n_docs"), *[F.min(c).alias(c) for c in piece]
     )
-    return left.groupBy("labels").agg(F.sum("n_docs").alias("n_docs"))
+    return left.groupBy("labels", *piece).agg(F.sum("n_docs").alias("n_docs"))
 
 
 def _looked_up(lists: DataFrame, least: int, block: int) -> tuple[list[int], int]:
     """Ids and documents of the longest lists that have fewer than ``least`` documents together.
 
     A pair that only they hold can't reach the support. Lists of a block or
-    less and lists that repeat a label are paired like any other.
+    less and lists that repeat a label are paired like any other; pieces of a
+    list repeat none.
     """
-    long = lists.where((F.size("labels") > block) & (F.size(F.array_distinct("labels")) == F.size("labels")) & (F.col("n_docs") < least))
-    ranked = long.select("list", F.size("labels").alias("size"), "n_docs").orderBy(F.desc("size"), "n_docs", "list")
+    whole = (F.size("labels") > block) & (F.col("n_docs") < least) & (F.size(F.array_distinct("labels")) == F.size("labels"))
+    sizes = lists.where(F.col("list").isNotNull() | whole).groupBy("id").agg(F.sum(F.size("labels")).alias("size"), F.max("n_docs").alias("n_docs"))
+    ranked = sizes.where((F.col("size") > block) & (F.col("n_docs") < least)).orderBy(F.desc("size"), "n_docs", "id")
     ids, docs = [], 0
     for row in ranked.limit(min(LOOKED_UP, max(0, least - 1))).collect():
         if docs + row["n_docs"] < least:
-            ids.append(row["list"])
+            ids.append(row["id"])
             docs += row["n_docs"]
     return ids, docs
 
@@ -95,20 +118,26 @@ def frequent_pairs(sets: DataFrame, least: int, block: int = BLOCK) -> DataFrame
     go before any pair is formed. Nor is a pair frequent that occurs in a few
     lists only which have fewer than ``least`` documents together: the longest
     such lists form no pairs, and the pairs of the others that can reach the
-    support look up how many of them hold both labels.
+    support look up how many of them hold both labels. Long lists may come in
+    pieces (``label_sets``).
     """
     sets = stored(sets, "label-sets")
     keep = set_label_counts(sets).where(F.col("n") >= least)
-    lists = stored(supported(sets, keep).withColumn("list", F.monotonically_increasing_id()), "supported-lists")
+    lists = supported(sets, keep)
+    if "list" not in lists.columns:
+        lists = lists.withColumn("list", F.lit(None).cast("bigint"))
+    # Numbers of cut lists are below zero, those of others not.
+    lists = stored(lists.withColumn("id", F.coalesce(-1 - F.col("list"), F.monotonically_increasing_id())), "supported-lists")
     ids, docs = _looked_up(lists, least, block)
+    rest = lists.where(~F.col("id").isin(ids)) if ids else lists
+    near = pair_counts(rest.drop("list") if rest.where("list is not null").isEmpty() else rest, block).where(F.col("n") >= least - docs)
     if not ids:
-        return pair_counts(lists, block).where(F.col("n") >= least)
-    near = pair_counts(lists.where(~F.col("list").isin(ids)), block).where(F.col("n") >= least - docs)
-    held = lists.where(F.col("list").isin(ids)).select(F.explode("labels").alias("label"), F.struct("list", "n_docs").alias("held"))
+        return near
+    held = lists.where(F.col("id").isin(ids)).select(F.explode("labels").alias("label"), F.struct("id", "n_docs").alias("held"))
     held = stored(held.groupBy("label").agg(F.collect_list("held").alias("held")), "looked-up")
     first, second = (held.select(F.col("label").alias(x), F.col("held").alias(f"in_{x}")) for x in "ab")
     # Only a list that repeats a label pairs it with itself.
-    both = F.coalesce(F.when(F.col("a") != F.col("b"), F.array_intersect("in_a", "in_b")), F.array().cast("array<struct<list:bigint,n_docs:bigint>>"))
+    both = F.coalesce(F.when(F.col("a") != F.col("b"), F.array_intersect("in_a", "in_b")), F.array().cast("array<struct<id:bigint,n_docs:bigint>>"))
     n = F.col("n") + F.aggregate(both, F.lit(0).cast("bigint"), lambda total, one: total + one["n_docs"])
     return near.join(first, "a", "left").join(second, "b", "left").select("a", "b", n.alias("n")).where(F.col("n") >= least)
 

@@ -13,10 +13,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.plans.durable import stored
+
 # The smallest count of a common and of a moderate label.
 COMMON = 100
 MODERATE = 10
 
+# How many labels of a document are held in a row, about, where they come as rows.
+LONGEST = 4096
+
 # Size of a sketch of distinct labels: two to this power of registers.
 SKETCH_LG_K = 14
 
@@ -29,12 +34,30 @@ def label_counts(docs: DataFrame) -> DataFrame:
 
 
 def label_sets(docs: DataFrame) -> DataFrame:
-    """(labels, n_docs): distinct sorted label lists with their documents."""
+    """(labels, n_docs): distinct sorted label lists with their documents.
+
+    Of (doc_id, label) rows, which may repeat, it is (labels, n_docs, list): a
+    list of more than about ``LONGEST`` labels comes as several rows that
+    have its number in ``list``, so no row and no task holds it whole. Such
+    lists are one each, be they alike or not.
+    """
+    if "label" in docs.columns:
+        return _sets_of_rows(docs)
     return docs.groupBy(F.sort_array("labels").alias("labels")).agg(
         F.count(F.lit(1)).alias("n_docs")
     )
 
 
+def _sets_of_rows(rows: DataFrame) -> DataFrame:
+    sizes = rows.groupBy("doc_id").agg(F.count("label").alias("n")).where(F.col("n") > LONGEST)
+    long = sizes.select(F.col("doc_id").alias("long"), F.ceil(F.col("n") / LONGEST).alias("pieces"), F.monotonically_increasing_id().alias("list"))
+    # At most one of ``LONGEST`` rows.
+    marked = rows.join(F.broadcast(stored(long, "long-lists")), F.col("doc_id").eqNullSafe(F.col("long")), "left")
+    piece = F.pmod(F.xxhash64("label"), F.col("pieces"))
+    lists = marked.groupBy("doc_id", "list", piece.alias("piece")).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return lists.groupBy("labels", "list").agg(F.count(F.lit(1)).alias("n_docs")).select("labels", "n_docs", "list")
+
+
 def label_distribution(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("n"), "label")
 

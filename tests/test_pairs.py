@@ -69,6 +69,27 @@ def test_longest_lists_below_the_support_form_no_pairs(spark, monkeypatch):
         assert formed[-1] == longest
 
 
+@pytest.mark.parametrize("groups", [2, 64])
+def test_long_lists_of_rows_come_in_pieces(spark, monkeypatch, groups):
+    """No row holds a long list; one document has no id, rows repeat and some have no label."""
+    rng = random.Random(11)
+    names = [f"l{i:03d}" for i in range(120)]
+    lists = {-1: names, None: names[30:], 1: names[::2], 2: names[::2], 3: []}
+    lists |= {i: sorted(rng.sample(names, rng.randint(1, 5))) for i in range(4, 300)}
+    rows_ = [(d, l) for d, one in lists.items() for l in one + one[:1]] + [(3, None), (4, None), (-1, None)]
+    rng.shuffle(rows_)
+    frame = spark.createDataFrame(rows_, "doc_id long, label string").repartition(5)
+    monkeypatch.setattr(lab, "LONGEST", 16)
+    monkeypatch.setattr(co, "GROUPS", groups)
+    sets = lab.label_sets(frame)
+    assert sets.agg(F.max(F.size("labels"))).first()[0] < 60
+    assert sets.where("list is not null").agg(F.countDistinct("list")).first()[0] == 4
+    assert sets.where("list is null").agg(F.sum("n_docs")).first()[0] == 297
+    assert rows(co.pair_counts(sets)) == plain(lists.values())
+    for least in (1, 2, 3, 5, 9):
+        assert rows(co.frequent_pairs(sets, least, 8)) == plain(lists.values(), least)
+
+
 def test_lists_without_rare_labels_fold(spark, docs):
     keep = spark.createDataFrame([("a",), ("b",)], "label string")
     left = {tuple(r["labels"]): r["n_docs"] for r in co.supported(lab.label_sets(docs), keep).collect()}
